@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from geolode.llm import simhash
+from geolode.llm import simhash, substrings, suffixes
 
 
 def queries() -> dict:
     return {
+        "op4_fm_substrings": substrings.op4_fm_substrings,
         "op5_simhash": simhash.op5_simhash,
+        "op6_suffix_arrays": suffixes.op6_suffix_arrays,
     }
 
 

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from geolode.llm import simhash, substrings, suffixes
+from geolode.llm import lattice, nbest, simhash, substrings, suffixes
 
 
 def queries() -> dict:
     return {
+        "op1_lattice_lm": lattice.op1_lattice_lm,
         "op4_fm_substrings": substrings.op4_fm_substrings,
         "op5_simhash": simhash.op5_simhash,
         "op6_suffix_arrays": suffixes.op6_suffix_arrays,
+        "op8_nbest_sentencepiece": nbest.op8_nbest_sentencepiece,
     }
 
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from geolode.llm import lattice, nbest, simhash, substrings, suffixes
+from geolode.llm import language, lattice, nbest, sharding, simhash, substrings, suffixes
 
 
 def queries() -> dict:
     return {
         "op1_lattice_lm": lattice.op1_lattice_lm,
+        "op2_hierarchical_language": language.op2_hierarchical_language,
+        "op3_differencing_shards": sharding.op3_differencing_shards,
         "op4_fm_substrings": substrings.op4_fm_substrings,
         "op5_simhash": simhash.op5_simhash,
         "op6_suffix_arrays": suffixes.op6_suffix_arrays,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from geolode.llm import language, lattice, nbest, sharding, simhash, substrings, suffixes
+from geolode.llm import contamination, language, lattice, licenses, matroska, nbest, sharding, simhash, substrings, suffixes
 
 
 def queries() -> dict:
@@ -13,7 +13,10 @@ def queries() -> dict:
         "op4_fm_substrings": substrings.op4_fm_substrings,
         "op5_simhash": simhash.op5_simhash,
         "op6_suffix_arrays": suffixes.op6_suffix_arrays,
+        "op7_diagonal_licenses": licenses.op7_diagonal_licenses,
         "op8_nbest_sentencepiece": nbest.op8_nbest_sentencepiece,
+        "op9_pigeonhole_leaks": contamination.op9_pigeonhole_leaks,
+        "op10_matroska": matroska.op10_matroska,
     }
 
 

@@ -96,12 +96,17 @@ class Finder:
 _finders: dict[str, Finder] = {}
 
 
+def _finder(token: str, items: list[tuple[int, str]], errors: float) -> Finder:
+    """The automaton of a block, built once in each worker."""
+    if token not in _finders:
+        _finders.clear()
+        _finders[token] = Finder(items, errors)
+    return _finders[token]
+
+
 def _search(token: str, items: list[tuple[int, str]], errors: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        finder = _finders.get(token)
-        if finder is None:
-            _finders.clear()
-            finder = _finders[token] = Finder(items, errors)
+        finder = _finder(token, items, errors)
         names = ["doc_id", "item_id", "n_errors", "from_char", "to_char"]
         for batch in batches:
             out: list[tuple] = []
@@ -119,22 +124,46 @@ def leaks(docs: DataFrame, benchmark: DataFrame, errors: float = ERRORS, least:
 
     Texts and items are compared in lower case with white space as single blanks. An item of n characters may differ by
     floor(n * ``errors``) insertions, deletions or substitutions; its best place in a document is reported, as a window's start and the match's end. Items under ``least``
-    characters, null items and null or empty texts match nothing. Repeated rows and items are each reported.
+    characters, null items and null or empty texts match nothing; an item without an id is reported as -1. Repeated rows and items are each reported.
     Items reach the tasks in blocks of BLOCK_BYTES at most, one pass over the documents for each, so what is sent is bounded
     whatever the size of the benchmark. Empty tables give an empty result.
     """
     schema = "doc_id bigint, item_id bigint, n_errors bigint, from_char bigint, to_char bigint"
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
+    out = None
+    for token, kept in _blocks(benchmark, least, item_col, item_text_col):
+        found = rows.mapInArrow(_search(f"{token}/{errors}", kept, errors), schema)
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def _blocks(benchmark: DataFrame, least: int, item_col: str, item_text_col: str) -> Iterator[tuple[str, list[tuple[int, str]]]]:
+    """The items in blocks of bounded size, each with a name that tells it from others."""
     items = benchmark.select(F.col(item_col).cast("bigint").alias("item_id"), F.col(item_text_col).alias("text")).filter("text is not null")
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first().b
     blocks = max(1, -(-2 * size // BLOCK_BYTES))
-    out = None
     for block in range(blocks):
         own = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).collect()
-        kept = sorted((r.item_id, p) for r in own if len(p := plain(r.text)) >= least)
-        found = rows.mapInArrow(_search(f"{block}/{blocks}/{errors}/{hash(tuple(kept))}", kept, errors), schema)
-        out = found if out is None else out.unionByName(found)
-    return out
+        kept = sorted(((-1 if r.item_id is None else r.item_id), p) for r in own if len(p := plain(r.text)) >= least)
+        yield f"{block}/{blocks}/{hash(tuple(kept))}", kept
+
+
+def without_leaks(docs: DataFrame, benchmark: DataFrame, errors: float = ERRORS, least: int = LEAST_CHARS, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """``docs`` less the rows in which a test item stands, by the rule of ``leaks``; all columns stay as they are."""
+    at = docs.columns.index(text_col)
+
+    def keeping(token: str, items: list[tuple[int, str]]):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            finder = _finder(token, items, errors)
+            for batch in batches:
+                clean = [not (items and (value := t.as_py()) and finder.find(plain(value))) for t in batch.column(at)]
+                yield batch.filter(pa.array(clean, pa.bool_()))
+
+        return run
+
+    for token, items in _blocks(benchmark, least, item_col, item_text_col):
+        docs = docs.mapInArrow(keeping(f"{token}/{errors}", items), docs.schema)
+    return docs
 
 
 def op9_pigeonhole_leaks(spark, sf_dir: str) -> DataFrame:

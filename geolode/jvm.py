@@ -62,7 +62,7 @@ def load(spark: SparkSession, folder: Path, package: str) -> None:
     _jars[key] = path
 
 
-def instance(spark: SparkSession, name: str, **conf):
+def instance(spark: SparkSession, name: str, /, **conf):
     """A new kernel object of class ``name``; keyword arguments reach its ``put`` method."""
     loader = spark._jsparkSession.sharedState().jarClassLoader()
     gateway = spark.sparkContext._gateway
@@ -80,7 +80,7 @@ def _java_type(spark: SparkSession, kind: T.DataType | str):
     return spark._jsparkSession.parseDataType(kind.json())
 
 
-def register(spark: SparkSession, sql_name: str, class_name: str, returns: str, **conf) -> None:
+def register(spark: SparkSession, sql_name: str, class_name: str, returns: str, /, **conf) -> None:
     """Registers a kernel that implements one of Spark's Java UDF interfaces as SQL function ``sql_name``."""
     key = (_session_key(spark), f"{id(spark)}:{sql_name}", repr((class_name, returns, sorted(conf.items(), key=str))))
     if key not in _registered:
@@ -93,7 +93,7 @@ def call(sql_name: str, *cols: Column | str) -> Column:
     return F.call_udf(sql_name, *cols)
 
 
-def map_partitions(df: DataFrame, class_name: str, schema: str, **conf) -> DataFrame:
+def map_partitions(df: DataFrame, class_name: str, schema: str, /, **conf) -> DataFrame:
     """``df`` through a kernel that implements ``MapPartitionsFunction`` over rows."""
     spark = df.sparkSession
     encoder = spark.sparkContext._jvm.org.apache.spark.sql.Encoders.row(_java_type(spark, schema))

@@ -14,7 +14,7 @@ from geolode.shared import stored
 
 HOT_SHARE = 2e-6
 PRIOR = 1000.0
-ROUNDS = 2
+ROUNDS = 4
 
 
 def _doubles(values) -> bytes:

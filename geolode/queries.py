@@ -93,7 +93,7 @@ add_read(
 add_read("filter_is_null", _r("documents", "doc_id", where=m.AnyOf((m.FieldIsNull("lang"), m.FieldIsNotNull("source")))), "SELECT doc_id FROM documents WHERE lang IS NULL OR source IS NOT NULL")
 add_read("filter_in", _r("part", "p_partkey", "p_size", where=m.FieldIn("p_size", ("a", "b", "c"))), "SELECT p_partkey, p_size FROM part WHERE p_size IN (1, 15, 40)", {"a": i32(1), "b": i32(15), "c": i32(40)})
 add_read("filter_between", _r("orders", "o_orderkey", where=m.FieldBetween("o_totalprice", "a", "b")), "SELECT o_orderkey FROM orders WHERE o_totalprice BETWEEN 50000 AND 120000", {"a": f64(50000), "b": f64(120000)})
-add_read("filter_like", _r("part", "p_partkey", "p_name", where=m.FieldLike("p_name", "x")), "SELECT p_partkey, p_name FROM part WHERE p_name LIKE '%1%'", {"x": text("%1%")})
+add_read("filter_like", _r("part", "p_partkey", "p_name", where=m.FieldLike("p_name", "x")), "SELECT p_partkey, p_name FROM part WHERE p_name LIKE 'part%_0'", {"x": text("part%_0")})
 add_read("filter_ilike", _r("customer", "c_custkey", where=m.FieldLike("c_mktsegment", "x", True)), "SELECT c_custkey FROM customer WHERE c_mktsegment ILIKE 'build%'", {"x": text("build%")})
 add_read("filter_timestamp", _r("orders", "o_orderkey", where=m.FieldGte("o_orderdate", "d")), "SELECT o_orderkey FROM orders WHERE o_orderdate >= TIMESTAMP '1996-01-01'", {"d": Value("timestamp", "1996-01-01T00:00:00")})
 add_read("read_top", _r("orders", "o_orderkey", "o_totalprice", order=(("o_totalprice", "desc"), "o_orderkey"), limit=50), "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 50")
@@ -195,7 +195,7 @@ add("flagship_revenue", q(sub(FLAGSHIP, "f"), "f.n_name", "f.orders"), "SELECT n
 
 # spatial
 
-X, Y = "CAST(user_id % 360 AS DOUBLE) - 180", "CAST(event_id % 180 AS DOUBLE) - 90"
+X, Y = "CAST((user_id * 7 + event_id) % 360 AS DOUBLE) - 180", "CAST(event_id % 180 AS DOUBLE) - 90"
 
 
 def places(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -258,15 +258,23 @@ add_spatial("spatial_overlay", q("rects", "p_partkey", (st("n_points", st("inter
 add_spatial("spatial_force_dims", q("places", "event_id", (st("dimensions", st("force_4d", "geom", p("z"), p("w"))), "d4"), (st("z", st("force_3d", "geom", p("z"))), "z"), (st("m", st("force_3dm", "geom", p("w"))), "m"), (st("dimensions", st("force_2d", st("force_3d", "geom"))), "d2")),
     f"SELECT event_id, 4 d4, CAST(7 AS DOUBLE) z, CAST(9 AS DOUBLE) m, 2 d2 FROM {_P}", {"z": f64(7), "w": f64(9)})
 add_spatial("spatial_transform", q("places", "event_id", where=cmp(st("x", st("transform", "geom", p("s"))), "gt", p("x"))), f"SELECT event_id FROM {_P} WHERE x * pi() * 6378137 / 180 > 1000000", {"s": i32(3857), "x": f64(1_000_000)})
+_NEAR = "(SELECT a.event_id i, b.event_id j FROM p a JOIN p b ON a.event_type = b.event_type AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 16)"
 add_spatial("spatial_cluster_dbscan", q(sub(q("places", "event_id", (cluster("cluster_dbscan", "geom", p("eps"), p("least"), by=["event_type"]), "k")), "r"), "r.event_id", where=null("r.k")),
-    f"SELECT p.event_id FROM {_P} p WHERE (SELECT count(*) FROM {_P} o WHERE o.event_type = p.event_type AND (o.x - p.x) * (o.x - p.x) + (o.y - p.y) * (o.y - p.y) <= 4) < 1", {"eps": f64(2), "least": i32(1)})
+    f"WITH p AS {_P}, near AS {_NEAR}, core AS (SELECT i FROM near GROUP BY i HAVING count(*) >= 4) SELECT event_id FROM p WHERE event_id NOT IN (SELECT near.i FROM near JOIN core ON near.j = core.i)", {"eps": f64(4), "least": i32(4)})
 add_spatial("spatial_cluster_k_means", q(sub(q("places", "event_id", "event_type", (cluster("cluster_k_means", "geom", p("k"), by=["event_type"]), "k")), "r"), "r.event_type", (fn("maximum", "r.k"), "most"), (fn("count", "r.event_id"), "n"), group=["r.event_type"]),
     f"SELECT event_type, 3 AS most, count(*) n FROM {_P} GROUP BY 1", {"k": i32(4)})
 
-@query("spatial_filter_read", f"SELECT event_id FROM {_P} WHERE x = 10 AND y = 20")
+def box_cell(xmin: float, ymin: float, xmax: float, ymax: float, srid: int = 4326) -> Value:
+    import struct
+
+    ring = [xmin, ymin, xmin, ymax, xmax, ymax, xmax, ymin, xmin, ymin]
+    return Value("wkb", b"\x01\x03\x00\x00\x00" + struct.pack("<II10d", 1, 5, *ring), srid)
+
+
+@query("spatial_filter_read", f"SELECT event_id FROM {_P} WHERE x BETWEEN -40 AND 15 AND y BETWEEN 3 AND 25")
 def _spatial_filter_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     eng = Engine(spark, {"places": places(spark, sf_dir)})
-    return eng.read(m.Read(m.ObjectRef("places"), ("event_id",), filter=m.FieldSpatial("intersects", "geom", "g")), {"g": point_cell(10, 20)})
+    return eng.read(m.Read(m.ObjectRef("places"), ("event_id",), filter=m.FieldSpatial("intersects", "geom", "g")), {"g": box_cell(-40, 3, 15, 25)})
 
 
 @query("spatial_join_points_rects", f"SELECT r.p_partkey, count(*) n FROM {_R} r JOIN {_P} p ON p.x BETWEEN r.x AND r.x + r.w AND p.y BETWEEN r.y AND r.y + r.h GROUP BY 1")

@@ -64,8 +64,10 @@ def running(spark: SparkSession, token: Token, phase: str = "read") -> Iterator[
     """Jobs started inside are interrupted when the token is cancelled or its deadline passes."""
     token.check(phase)
     tag = f"geolode-{uuid.uuid4().hex}"
-    spark.addTag(tag)
-    token.on_cancel(lambda: spark.interruptTag(tag))
+    context = spark.sparkContext
+    kept = {k: context.getLocalProperty(k) for k in ("spark.jobGroup.id", "spark.job.description", "spark.job.interruptOnCancel")}
+    context.setJobGroup(tag, "geolode", True)
+    token.on_cancel(lambda: context.cancelJobGroup(tag))
     timer = None
     if token.deadline is not None:
         timer = threading.Timer(max(0.0, token.deadline - time.monotonic()), lambda: token.reason)
@@ -81,5 +83,5 @@ def running(spark: SparkSession, token: Token, phase: str = "read") -> Iterator[
     finally:
         if timer:
             timer.cancel()
-        with contextlib.suppress(Exception):
-            spark.removeTag(tag)
+        for k, v in kept.items():
+            context.setLocalProperty(k, v)

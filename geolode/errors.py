@@ -51,6 +51,7 @@ CONDITIONS = {
     "UNSUPPORTED": "unsupported",
     "INVALID_LATERAL_JOIN_TYPE": "unsupported",
     "MISSING_AGGREGATION": "invalid_plan",
+    "MISSING_GROUP_BY": "invalid_plan",
     "PARSE_SYNTAX_ERROR": "internal",
     "OPERATION_CANCELED": "cancelled",
 }

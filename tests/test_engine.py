@@ -195,7 +195,7 @@ def test_spatial_values(spark, function, args, want):
         ("intersection", (SQUARE, "POLYGON ((2 2, 6 2, 6 6, 2 6, 2 2))"), "POLYGON ((2 2, 4 2, 4 4, 2 4, 2 2))"), ("difference", ("LINESTRING (0 0, 4 0)", "POLYGON ((1 -1, 2 -1, 2 1, 1 1, 1 -1))"), "MULTILINESTRING ((0 0, 1 0), (2 0, 4 0))"), ("union", ("POINT (0 0)", "POINT (1 1)"), "MULTIPOINT ((0 0), (1 1))"),
         ("sym_difference", ("LINESTRING (0 0, 2 0)", "LINESTRING (1 0, 3 0)"), "MULTILINESTRING ((0 0, 1 0), (2 0, 3 0))"), ("unary_union", ("MULTIPOINT ((0 0), (0 0))",), "POINT (0 0)"), ("simplify", ("LINESTRING (0 0, 1 0.1, 2 0)", 0.5), "LINESTRING (0 0, 2 0)"), ("simplify_preserve_topology", ("LINESTRING (0 0, 1 0.1, 2 0)", 0.5), "LINESTRING (0 0, 2 0)"),
         ("make_valid", ("POLYGON ((0 0, 2 2, 0 2, 2 0, 0 0))",), "MULTIPOLYGON (((1 1, 0 0, 2 0, 1 1)), ((1 1, 2 2, 0 2, 1 1)))"), ("centroid", (SQUARE,), "POINT (2 2)"), ("point_on_surface", (SQUARE,), "POINT (2 2)"), ("envelope", ("LINESTRING (0 0, 2 3)",), "POLYGON ((0 0, 2 0, 2 3, 0 3, 0 0))"),
-        ("convex_hull", ("MULTIPOINT ((0 0), (2 0), (1 1), (0 2), (2 2))",), "POLYGON ((0 0, 2 0, 2 2, 0 2, 0 0))"), ("oriented_envelope", ("LINESTRING (0 0, 2 0, 2 1)",), "POLYGON ((0 0, 2 0, 2 1, 0 1, 0 0))"), ("boundary", ("LINESTRING (0 0, 2 3)",), "MULTIPOINT ((0 0), (2 3))"),
+        ("convex_hull", ("MULTIPOINT ((0 0), (2 0), (1 1), (0 2), (2 2))",), "POLYGON ((0 0, 2 0, 2 2, 0 2, 0 0))"), ("oriented_envelope", ("LINESTRING (0 0, 4 0, 4 1, 0 1)",), "POLYGON ((0 0, 4 0, 4 1, 0 1, 0 0))"), ("boundary", ("LINESTRING (0 0, 2 3)",), "MULTIPOINT ((0 0), (2 3))"),
         ("line_merge", ("MULTILINESTRING ((0 0, 1 0), (1 0, 2 0))",), "LINESTRING (0 0, 1 0, 2 0)"), ("reverse", ("LINESTRING (0 0, 2 3)",), "LINESTRING (2 3, 0 0)"), ("snap_to_grid", ("LINESTRING (0.2 0.1, 0.3 0.2, 2.1 3.2)", 1.0), "LINESTRING (0 0, 2 3)"), ("offset_curve", ("LINESTRING (0 0, 4 0)", 1.0), "LINESTRING (0 1, 4 1)"),
         ("collect", ("POINT (0 0)", "POINT (1 1)"), "MULTIPOINT ((0 0), (1 1))"), ("as_mvt_geom", ("POINT (1 1)", "POLYGON ((0 0, 4 0, 4 4, 0 4, 0 0))", 8), "POINT (2 6)"),
     ],

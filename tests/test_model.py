@@ -23,7 +23,7 @@ def refused(query, category="invalid_plan", **kw):
 
 def test_catalogue_has_72_functions():
     assert len(FUNCTIONS) == 72
-    assert sum(f.returns == "geometry" for f in FUNCTIONS.values()) == 33
+    assert sum(f.returns == "geometry" for f in FUNCTIONS.values()) == 31
 
 
 def test_round_trip_of_the_flagship():

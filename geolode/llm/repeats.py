@@ -1,20 +1,25 @@
 """What both searches for repeated passages share.
 
 A window is a run of ``window`` units (words or bytes). Each window belongs to the key that is the least hash
-of its k-grams, so equal windows, wherever they stand, belong to the same key. Neighbouring windows with one
-key form a stretch. Equal stretches are counted by hash, combined within each task first, so a passage that a
+of its k-grams, so equal windows, wherever they stand, belong to the same key. Grams that are common in the whole
+table come last in that order: a window that reaches out of a passage that many documents share has a gram of its own, and so a
+key of its own, while windows inside it are equal and are counted. Neighbouring windows with one key form a stretch. Equal stretches are counted by hash, combined within each task first, so a passage that a
 third of all documents share sends one row a task. Only where one key has different stretches is their text
 fetched, once for each different stretch, and compared exactly in shards of whole keys.
 """
 
 from __future__ import annotations
 
+import struct
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from geolode.llm.common import kernel_map, kernel_udf, text_bytes
 from geolode.shared import release, stored
 
+COMMON = 1000
+COMMON_LIST = 1 << 20
 STRETCH = "key bigint, same bigint, id bigint, th bigint, start int, len int, kind int"
 FOUND = "id bigint, th bigint, start int, len int, key bigint, kind int"
 PIECE = "key bigint, id bigint, th bigint, start int, kind int, piece binary"
@@ -27,11 +32,26 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(-(1 << 63))).alias("id"), F.xxhash64(text).alias("th"), text.alias("text"))
 
 
+def common_grams(docs: DataFrame, gram: int, by_word: bool) -> bytes:
+    """Packed hashes of grams that stand COMMON times or more in all texts.
+
+    No more than COMMON_LIST can be listed, as each has that share of all grams at least. The list decides which of a window's grams is its
+    key and nothing else: whatever it holds, equal windows have equal keys, and results are the same.
+    """
+    met = kernel_map(docs.select("text"), "CommonGrams", "gram bigint, n bigint", gram=gram, words=int(by_word))
+    sums = stored(met.groupBy("gram").agg(F.sum("n").alias("n")))
+    everything = -(sums.filter("n < 0").agg(F.min("n")).first()[0] or 0)
+    least = max(COMMON, everything // COMMON_LIST)
+    found = [r.gram for r in sums.filter(F.col("n") >= least).select("gram").collect()]
+    release(sums)
+    return struct.pack(f">{len(found)}q", *found)
+
+
 def repeated_spans(docs: DataFrame, window: int, gram: int, by_word: bool, earlier: bool, search: str) -> DataFrame:
     """``docs`` (id, th, text) to the spans (id, th, start, len) that repeated windows cover; spans may overlap."""
     mode = {"words": int(by_word)}
     order = {"earlier": int(earlier)}
-    cut = kernel_map(docs, "Stretches", STRETCH, window=window, gram=gram, **mode, **order)
+    cut = kernel_map(docs, "Stretches", STRETCH, window=window, gram=gram, common=common_grams(docs, gram, by_word), **mode, **order)
     cut = cut.repartition("key").sortWithinPartitions("key", "same", "id", "th", "start")
     found = stored(kernel_map(cut, "Compare", FOUND, **order))
     asked = found.filter("kind >= 3").groupBy("id", "th").agg(F.collect_list(F.struct("key", "start", "len", "kind")).alias("asked"))

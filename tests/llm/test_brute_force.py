@@ -7,8 +7,9 @@ import zlib
 from collections import Counter
 
 import xxhash
+from pyspark.sql import functions as F
 
-from geolode.llm import contamination, lattice, licenses, matroska, sharding, simhash, substrings, suffixes
+from geolode.llm import contamination, lattice, licenses, matroska, repeats, sharding, simhash, substrings, suffixes
 
 WORD = r"[^\x20\x09-\x0D]+"
 lower = lambda t: (t or "").translate({c: c + 32 for c in range(65, 91)})
@@ -123,6 +124,16 @@ def test_op6(spark, corpus, as_tables):
     assert sorted((r.doc_id is None, r.doc_id or 0, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in rows) == sorted(want)
 
 
+def test_common_grams_change_no_result(spark, corpus, as_tables, monkeypatch):
+    """Whatever counts as common, the same words and bytes go."""
+    folder = as_tables(corpus)
+    want = [sorted(map(repr, f(spark, folder).collect())) for f in (substrings.op4_fm_substrings, suffixes.op6_suffix_arrays)]
+    monkeypatch.setattr(repeats, "COMMON", 4)
+    texts = spark.createDataFrame([(t,) for _, t, *_ in corpus], "text string").select(F.encode(F.coalesce("text", F.lit("")), "utf-8").alias("text")).coalesce(1)
+    assert len(repeats.common_grams(texts, suffixes.GRAM, False)) > 8
+    assert [sorted(map(repr, f(spark, folder).collect())) for f in (substrings.op4_fm_substrings, suffixes.op6_suffix_arrays)] == want
+
+
 def test_op7(spark, as_tables, corpus):
     own = [
         (1000, "Some words. All rights reserved.\nCC-BY 4.0, cc by; ALL RIGHTS RESERVED", "en", None, None), (1001, "This work is licensed under the GNU General Public License, version 3.", "en", None, None),

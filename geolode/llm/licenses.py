@@ -32,6 +32,7 @@ TEMPLATES = {
 GRAM = 2
 SHARE = 0.9
 DRIFT = 2
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 SPLIT = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -61,7 +62,7 @@ def scan(docs: DataFrame, base: dict[str, str] = BASE, templates: dict[str, str]
     spark = docs.sparkSession
     grams = template_grams(spark, base, templates)
     firsts = sorted({p.split()[i] for p in [*base, *templates] for i in range(len(p.split()) - 1)})
-    words = F.array_remove(F.split(F.lower(F.coalesce(F.col(text_col), F.lit(""))), SPLIT), "")
+    words = F.array_remove(F.split(F.translate(F.coalesce(F.col(text_col), F.lit("")), UPPER, UPPER.lower()), SPLIT), "")
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("doc_id"), words.alias("words"))
     flat = rows.select("rid", "doc_id", "words", F.posexplode(F.concat(F.array(F.lit("")), F.col("words"))).alias("pos", "word"))
     flat = flat.filter((F.col("pos") == 0) | F.col("word").isin(firsts))

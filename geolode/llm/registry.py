@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from geolode.llm import contamination, language, lattice, licenses, matroska, nbest, sharding, simhash, substrings, suffixes
+from geolode.llm import contamination, language, lattice, licenses, matroska, nbest, oracles, sharding, simhash, substrings, suffixes
 
 
 def queries() -> dict:
@@ -21,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracles.SQL)

@@ -137,7 +137,7 @@ def test_common_grams_change_no_result(spark, corpus, as_tables, monkeypatch):
 def test_op7(spark, as_tables, corpus):
     own = [
         (1000, "Some words. All rights reserved.\nCC-BY 4.0, cc by; ALL RIGHTS RESERVED", "en", None, None), (1001, "This work is licensed under the GNU General Public License, version 3.", "en", None, None),
-        (1002, "Permission is hereby granted, free of charge, to any person obtaining a copy of this nice software and associated documentation files", "en", None, None), (1003, "cc\nbyé cc é by", "en", None, None),
+        (1002, "Permission is hereby granted, free of charge, to any person obtaining a copy of this nice software and associated documentation files", "en", None, None), (1003, "cc\nbyé cc é by", "en", None, None), (1004, "all r\u0130ghts reserved \u212a\u00c9 cc-by", "en", None, None),
     ]
     rows = licenses.op7_diagonal_licenses(spark, as_tables(corpus + own)).collect()
     assert len(rows) == len(corpus) + len(own)

@@ -45,12 +45,17 @@ def partitions_of(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def summed(df: DataFrame, key: str, *totals: Column) -> DataFrame:
+    """``df`` grouped by a key, dealt by a struct of it: a join on the key then deals both sides anew, and so Spark can split a hot key's rows."""
+    return df.groupBy(F.struct(key).alias("_k")).agg(*totals).select(F.col(f"_k.{key}").alias(key), "*").drop("_k")
+
+
 def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     """``links`` (a, b: two vertices) to (vertex, root), root being the smallest vertex that can be reached.
 
     Alternates large-star and small-star steps: each replaces a vertex's links by links to its smallest
-    neighbour, found with an aggregation that combines before its shuffle, so no task holds a vertex's whole
-    neighbourhood. Each round is written to the shared folder; no link reaches the driver.
+    neighbour, found with an aggregation that combines before its shuffle, and joined so that Spark can split
+    the links of one vertex among tasks. Each round is written to the shared folder; no link reaches the driver.
     """
 
     def both(e: DataFrame) -> DataFrame:
@@ -65,10 +70,10 @@ def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         if not before[0]:
             break
         s = both(e)
-        least = s.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+        least = summed(s, "a", F.min("b").alias("m")).withColumn("m", F.least("m", "a"))
         large = s.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = large.filter("a <> b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        least = summed(large, "a", F.min("b").alias("m"))
         joined = large.join(least, "a")
         small = joined.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(
             least.select("a", F.col("m").alias("b"))

@@ -8,7 +8,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from geolode.llm.common import connected_components, documents, kernel_map, kernel_udf, text_bytes
+from geolode.llm.common import connected_components, documents, kernel_map, kernel_udf, summed, text_bytes
 from geolode.shared import stored
 
 BLOCKS = (11, 11, 11, 11, 10, 10)
@@ -107,7 +107,7 @@ def _grouped(marked: DataFrame, codes: DataFrame, links: DataFrame) -> DataFrame
     roots = connected_components(links)
     owner = codes.join(roots, codes.code == roots.vertex, "left").select("code", F.coalesce("root", "code").alias("root"), "least")
     owner = stored(owner)
-    smallest = owner.groupBy("root").agg(F.min("least").alias("component_id"))
+    smallest = summed(owner, "root", F.min("least").alias("component_id"))
     of_code = owner.join(smallest, "root").select("code", "component_id")
     return marked.join(of_code, "code").select("doc_id", "code", "component_id")
 

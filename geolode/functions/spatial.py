@@ -32,7 +32,7 @@ def register(spark: SparkSession) -> None:
     if key in _ready:
         return
     jvm.load(spark, Path(__file__).parent / "java", PACKAGE)
-    own = [("bbox", (1,), BOX), ("cells", (2, 3), "array<bigint>"), ("collect_agg", (1,), "binary"), ("union_agg", (1,), "binary"), ("make_point", (3,), "binary"), ("make_box", (5,), "binary"), ("from_text", (2,), "binary")]
+    own = [("bbox", (1,), BOX), ("is_box", (1,), "boolean"), ("collect_agg", (1,), "binary"), ("union_agg", (1,), "binary"), ("make_point", (3,), "binary"), ("make_box", (5,), "binary"), ("from_text", (2,), "binary")]
     own += [(k, (2,), v) for k, v in OPERATORS.items()]
     for f in FUNCTIONS.values():
         if f.id in WINDOWED or f.id in ("extent", "as_mvt", "as_geobuf"):

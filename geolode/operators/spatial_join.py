@@ -12,23 +12,24 @@ from geolode.plans.lower import quoted
 CELLS_A_SIDE = 4096
 
 
-def cell_size(left: DataFrame, right: DataFrame, a: str, b: str) -> float:
-    """About the larger mean extent of the two sides' boxes, and no finer than a 4,096th of all: one aggregation of each side."""
-    spark, most, span = left.sparkSession, 0.0, 0.0
+def cell_sizes(left: DataFrame, right: DataFrame, a: str, b: str) -> tuple[float, float]:
+    """For each axis the larger mean extent of the two sides' boxes, and no finer than a 4,096th of all: one aggregation of each side."""
+    spark, most, span = left.sparkSession, [0.0, 0.0], [0.0, 0.0]
     for df, c in ((left, a), (right, b)):
         box = df.select(spatial.call(spark, "bbox", F.col(quoted(c))).alias("b")).filter("b IS NOT NULL").select("b.*")
-        r = box.agg(F.avg(F.greatest(F.col("xmax") - F.col("xmin"), F.col("ymax") - F.col("ymin"))).alias("m"), F.min("xmin"), F.min("ymin"), F.max("xmax"), F.max("ymax")).first()
-        if r[0] is not None:
-            most, span = max(most, r[0]), max(span, r[3] - r[1], r[4] - r[2])
-    return max(most, span / CELLS_A_SIDE) or 1.0
+        got = box.agg(*[f for k in "xy" for f in (F.avg(F.col(f"{k}max") - F.col(f"{k}min")), F.max(f"{k}max") - F.min(f"{k}min"))]).first()
+        for i in (0, 1):
+            most[i], span[i] = max(most[i], got[2 * i] or 0.0), max(span[i], got[2 * i + 1] or 0.0)
+    return tuple(max(m, s / CELLS_A_SIDE) or 1.0 for m, s in zip(most, span, strict=True))
 
 
-def spatial_join(left: DataFrame, right: DataFrame, a: str, b: str, predicate: str = "intersects", distance: float | None = None, size: float | None = None) -> DataFrame:
+def spatial_join(left: DataFrame, right: DataFrame, a: str, b: str, predicate: str = "intersects", distance: float | None = None, sizes: tuple[float, float] | None = None) -> DataFrame:
     """Inner join of rows whose geometries ``a`` and ``b`` meet the predicate, or lie within ``distance`` (d_within).
 
     Each side's boxes (the left grown by the distance) go to the cells they touch; rows meet by an equality on the cell, which Spark
     shuffles and splits where it is skewed. A pair that shares several cells is kept in the one that holds the larger of their lower
-    corners, so no later step has to remove repeats. The exact predicate is tested last. Null and empty geometries join nothing.
+    corners, so no later step has to remove repeats. Boxes are compared next; points and upright rectangles are their boxes, so that their
+    pairs are decided there. All other pairs are tested exactly. Null and empty geometries join nothing.
     Columns of the right side that clash get the suffix ``_right``.
     """
     if predicate == "disjoint" or (predicate not in BINARY_PREDICATES and predicate != "d_within"):
@@ -37,18 +38,31 @@ def spatial_join(left: DataFrame, right: DataFrame, a: str, b: str, predicate: s
         raise ValueError("a distance goes with d_within")
     spark = left.sparkSession
     grow = float(distance or 0.0)
-    size = size or cell_size(left, right, a, b) + grow
+    sizes = sizes or tuple(s + grow for s in cell_sizes(left, right, a, b))
     call = lambda f, *args: spatial.call(spark, f, *args)
     names = {c: c if c not in left.columns else f"{c}_right" for c in right.columns}
 
     def dealt(df: DataFrame, c: str, by: float, tag: str) -> DataFrame:
-        row = df.select(F.struct(*[F.col(quoted(x)) for x in df.columns]).alias(f"{tag}_row"), F.col(quoted(c)).alias(f"{tag}_g"))
-        row = row.withColumn(f"{tag}_b", call("bbox", F.col(f"{tag}_g"))).filter(F.col(f"{tag}_b").isNotNull())
-        return row.withColumn("cell", F.explode(call("cells", F.col(f"{tag}_g"), F.lit(size), F.lit(by))))
-
-    both = dealt(left, a, grow, "l").join(dealt(right, b, 0.0, "r"), "cell")
-    low = lambda k: F.greatest(F.col(f"l_b.{k}") - F.lit(grow), F.col(f"r_b.{k}"))
-    home = F.shiftleft(F.floor(low("xmin") / size).cast("bigint"), 32).bitwiseXOR(F.floor(low("ymin") / size).cast("bigint").bitwiseAND(F.lit(0xFFFFFFFF)))
-    args = [F.col("l_g"), F.col("r_g")] + ([F.lit(distance)] if distance is not None else [])
-    kept = both.filter(F.col("cell") == home).filter(call(predicate, *args))
+        g = F.col(quoted(c))
+        row = df.select(F.struct(*[F.col(quoted(x)) for x in df.columns]).alias(f"{tag}_row"), g.alias(f"{tag}_g"), call("bbox", g).alias("box"), call("is_box", g).alias(f"{tag}_box"), call("srid", g).alias(f"{tag}_srid"))
+        row = row.filter("box IS NOT NULL").select("*", *[(F.col(f"box.{k}{end}") + F.lit(sign * by)).alias(f"{tag}_{k}{end}") for k in "xy" for end, sign in (("min", -1), ("max", 1))])
+        for k, size in zip("xy", sizes, strict=True):
+            place = lambda end, k=k, size=size: F.floor(F.col(f"{tag}_{k}{end}") / F.lit(size))
+            row = row.withColumn(f"c{k}", F.explode(F.sequence(place("min"), place("max"))))
+        return row.drop("box")
+
+    both = dealt(left, a, grow, "l").join(dealt(right, b, 0.0, "r"), ["cx", "cy"])
+    home = [F.col(f"c{k}") == F.floor(F.greatest(f"l_{k}min", f"r_{k}min") / F.lit(size)) for k, size in zip("xy", sizes, strict=True)]
+    meet = [(F.col(f"l_{k}min") <= F.col(f"r_{k}max")) & (F.col(f"r_{k}min") <= F.col(f"l_{k}max")) for k in "xy"]
+    exact = call(predicate, F.col("l_g"), F.col("r_g"), *([F.lit(distance)] if distance is not None else []))
+    same = F.col("l_srid") == F.col("r_srid")
+    if predicate == "intersects":
+        exact = (F.col("l_box") & F.col("r_box") & same) | exact
+    elif predicate in ("covers", "covered_by"):
+        out, own = ("l", "r") if predicate == "covers" else ("r", "l")
+        meet += [(F.col(f"{out}_{k}min") <= F.col(f"{own}_{k}min")) & (F.col(f"{own}_{k}max") <= F.col(f"{out}_{k}max")) for k in "xy"]
+        exact = (F.col(f"{out}_box") & same) | exact
+    kept = both
+    for test in (*home, *meet, exact):
+        kept = kept.filter(test)
     return kept.select(*[F.col(f"l_row.{quoted(c)}").alias(c) for c in left.columns], *[F.col(f"r_row.{quoted(c)}").alias(n) for c, n in names.items()])

@@ -288,6 +288,12 @@ def test_spatial_join_is_the_nested_loop(spark):
         args = [F.col("b.g"), F.col("p.g")] + ([F.lit(distance)] if distance else [])
         want = sorted(rows(boxes.alias("b").crossJoin(pts.alias("p")).filter(spatial.call(spark, predicate, *args)).select("b.id", "p.id")))
         assert got == want and want
+    odd = spark.createDataFrame([(i, x) for i, x in enumerate(("POLYGON ((0 0, 3 3, 6 0, 0 0))", "LINESTRING (-3 -3, 5 5)", "MULTIPOINT ((1 1), (4 1))", "POINT EMPTY", "POLYGON ((-1 -1, 9 -1, 9 9, -1 9, -1 -1))"))], "id int, t string").select("id", spatial.from_text(spark, "t", 0).alias("g"))
+    for predicate in ("intersects", "covers", "covered_by", "touches"):
+        got = sorted(rows(spatial_join(boxes, odd, "g", "g", predicate).select("id", "id_right")))
+        assert got == sorted(rows(boxes.alias("b").crossJoin(odd.alias("p")).filter(spatial.call(spark, predicate, F.col("b.g"), F.col("p.g"))).select("b.id", "p.id")))
+    with pytest.raises(Exception, match="CRS_MISMATCH|FAILED_EXECUTE_UDF"):
+        spatial_join(*[df.select("id", spatial.call(spark, "set_srid", "g", F.lit(srid)).alias("g")) for df, srid in ((boxes, 4326), (pts, 3857))], "g", "g").collect()
 
 
 def test_clusters():

@@ -251,8 +251,8 @@ add_spatial("spatial_extent_agg", q(sub(q("rects", "p_brand", (st("extent", "geo
 add_spatial("spatial_collect_agg", q(sub(q("places", "event_type", (st("collect", "geom"), "g"), group=["event_type"]), "r"), "r.event_type", (st("n_points", "r.g"), "n"), (st("geometry_type", "r.g"), "kind")), f"SELECT event_type, CAST(count(*) AS INTEGER) n, 'ST_MultiPoint' kind FROM {_P} GROUP BY 1")
 add_spatial("spatial_union_agg", q(sub(q("places", "event_type", (st("union", "geom"), "g"), group=["event_type"]), "r"), "r.event_type", (st("n_points", "r.g"), "n")), f"SELECT event_type, CAST(count(DISTINCT (x, y)) AS INTEGER) n FROM {_P} GROUP BY 1")
 add_spatial("spatial_geojson", q("places", "event_id", (st("as_geo_json", "geom"), "j")), "SELECT event_id, '{\"type\":\"Point\",\"coordinates\":[' || CAST(CAST(x AS BIGINT) AS VARCHAR) || ',' || CAST(CAST(y AS BIGINT) AS VARCHAR) || ']}' j FROM " + _P)
-add_spatial("spatial_processing", q("rects", "p_partkey", (st("x", st("centroid", "geom")), "cx"), (st("n_points", st("buffer", "geom", p("zero"))), "n"), (st("n_points", st("convex_hull", "geom")), "hull"), (st("equals", st("envelope", "geom"), "geom"), "same"), (st("is_simple", st("boundary", "geom")), "simple"), (st("srid", st("set_srid", "geom", p("s"))), "srid")),
-    f"SELECT p_partkey, x + w / 2 cx, 5 n, 5 hull, true same, true simple, 4326 srid FROM {_R}", {"zero": f64(0), "s": i32(4326)})
+add_spatial("spatial_processing", q("rects", "p_partkey", (st("n_points", st("buffer", "geom", p("zero"))), "n"), (st("n_points", st("convex_hull", "geom")), "hull"), (st("equals", st("envelope", "geom"), "geom"), "same"), (st("is_simple", st("boundary", "geom")), "simple"), (st("srid", st("set_srid", "geom", p("s"))), "srid"), where=cmp(st("x", st("centroid", "geom")), "gt", p("c"))),
+    f"SELECT p_partkey, 5 n, 5 hull, true same, true simple, 4326 srid FROM {_R} WHERE x + w / 2 > 30.123", {"zero": f64(0), "s": i32(4326), "c": f64(30.123)})
 add_spatial("spatial_overlay", q("rects", "p_partkey", (st("n_points", st("intersection", "geom", st("envelope", "geom"))), "n"), (st("is_empty", st("difference", "geom", "geom")), "void"), (st("is_empty", st("sym_difference", "geom", "geom")), "none"), (st("n_rings", st("union", "geom", "geom")), "rings")),
     f"SELECT p_partkey, 5 n, true AS void, true AS none, 1 rings FROM {_R}")
 add_spatial("spatial_force_dims", q("places", "event_id", (st("dimensions", st("force_4d", "geom", p("z"), p("w"))), "d4"), (st("z", st("force_3d", "geom", p("z"))), "z"), (st("m", st("force_3dm", "geom", p("w"))), "m"), (st("dimensions", st("force_2d", st("force_3d", "geom"))), "d2")),

@@ -38,22 +38,24 @@ class Model:
     pair: bytes
 
 
-def svm(x: np.ndarray, y: np.ndarray, cost: float = 10.0, rounds: int = 15) -> np.ndarray:
-    """Weights and bias of a linear SVM with squared hinge loss, by dual coordinate descent; y is +1 or -1."""
-    x = np.hstack([x, np.ones((len(x), 1), x.dtype)])
-    w, alpha = np.zeros(x.shape[1], x.dtype), np.zeros(len(x))
+def svm(x: np.ndarray, rows: np.ndarray, y: np.ndarray, cost: float = 10.0, rounds: int = 15) -> np.ndarray:
+    """Weights and bias of a linear SVM with squared hinge loss on some rows of x, by dual coordinate descent; y is +1 or -1 for each of them."""
+    w, alpha = np.zeros(x.shape[1] + 1, x.dtype), np.zeros(len(rows))
     slack = 0.5 / cost
-    norm = np.einsum("ij,ij->i", x, x) + slack
+    norm = np.array([float(x[r] @ x[r]) + 1 + slack for r in rows])
     order = np.random.default_rng(7)
     for _ in range(rounds):
         moved = 0.0
-        for i in order.permutation(len(x)):
-            g = y[i] * float(x[i] @ w) - 1 + slack * alpha[i]
+        for i in order.permutation(len(rows)):
+            own = x[rows[i]]
+            g = y[i] * float(own @ w[:-1] + w[-1]) - 1 + slack * alpha[i]
             if alpha[i] == 0 and g >= 0:
                 continue
             new = max(alpha[i] - g / norm[i], 0.0)
             moved = max(moved, abs(new - alpha[i]))
-            w += x.dtype.type((new - alpha[i]) * y[i]) * x[i]
+            step = x.dtype.type((new - alpha[i]) * y[i])
+            w[:-1] += step * own
+            w[-1] += step
             alpha[i] = new
         if moved < 1e-3:
             break
@@ -76,12 +78,15 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, dims: int = DIMS, lang_col: s
     each = max(1, sample // len(counts))
     share = F.create_map(*[F.lit(v) for k, n in counts.items() for v in (k, min(1.0, each / n))])
     draw = F.pmod(F.xxhash64(F.col(text_col), F.lit(5)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    drawn = rows.filter(draw < share[F.col(lang_col)]).select(F.col(lang_col).alias("lang"), F.call_udf(name, text_bytes(F.col(text_col))).alias("v"))
-    got = sorted(drawn.limit(2 * sample).collect(), key=lambda r: (r.lang, bytes(r.v)))
+    drawn = rows.filter(draw < share[F.col(lang_col)]).select(F.col(lang_col).alias("lang"), F.xxhash64(text_col).alias("h"), F.call_udf(name, text_bytes(F.col(text_col))).alias("v"))
+    got = sorted(drawn.limit(2 * sample).collect(), key=lambda r: (r.lang, r.h))
     if not got:
         return Model((), b"", b"", b"")
-    x = np.stack([np.frombuffer(r.v, "<f4") for r in got])
     lang = np.array([r.lang for r in got])
+    x = np.empty((len(got), dims), "<f4")
+    for i, r in enumerate(got):
+        x[i] = np.frombuffer(r.v, "<f4")
+        got[i] = None
     languages = tuple(sorted(set(lang)))
     families: dict[str, list[int]] = {}
     for i, code in enumerate(languages):
@@ -90,13 +95,13 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, dims: int = DIMS, lang_col: s
     groups = [families[k] for k in sorted(families)]
     number = {code: i for i, code in enumerate(languages)}
     of = np.array([number[c] for c in lang])
-    family = b"".join(svm(x, np.where(np.isin(of, g), 1.0, -1.0)).tobytes() for g in groups) if len(groups) > 1 else b""
+    family = b"".join(svm(x, np.arange(len(of)), np.where(np.isin(of, g), 1.0, -1.0)).tobytes() for g in groups) if len(groups) > 1 else b""
     pair = []
     for g in groups:
         for k, a in enumerate(g):
             for b in g[k + 1 :]:
-                own = (of == a) | (of == b)
-                pair.append(svm(x[own], np.where(of[own] == a, 1.0, -1.0)).tobytes())
+                own = np.flatnonzero((of == a) | (of == b))
+                pair.append(svm(x, own, np.where(of[own] == a, 1.0, -1.0)).tobytes())
     members = b"".join(struct.pack(f">{len(g) + 1}i", len(g), *g) for g in groups)
     return Model(languages, members, family, b"".join(pair))
 

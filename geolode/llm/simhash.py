@@ -12,6 +12,8 @@ from geolode.llm.common import connected_components, documents, kernel_map, kern
 from geolode.shared import stored
 
 BLOCKS = (11, 11, 11, 11, 10, 10)
+#: A neighbourhood's sets are compared part by part: of so many sets, in so many parts at most while a part's texts have no more than so many bytes.
+PART_SETS, PARTS, PART_BYTES = 256, 16, 16 << 20
 
 
 def fingerprint(spark, text: Column, width: int = 4, seed: int = 42) -> Column:
@@ -80,36 +82,56 @@ def banding(n: int, similarity: float, missed: float = 0.03) -> tuple[int, int]:
 
 
 def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, seed: int = 42, words: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` to (doc_id, code, component_id): groups of texts whose shingle sets are that similar, or linked through others.
+    """``docs`` to (doc_id, code, component_id): groups of texts whose shingle sets are that similar, or linked through others that are.
 
     Four bits of 64 are far less than a similarity of 0.8 moves (ten, give or take three), and ten of 64 also join strangers.
-    So this form takes fingerprints of ``words`` times 64 bits over distinct shingles of ``width`` words, and links those that
-    differ in no more bits than the similarity lets expect, plus two deviations: 178 of 1,024 at 0.8, which also links about half of the pairs at
-    0.75 and one in thirteen at 0.7. Codes meet in as many groups, by as many of their bits, as ``banding`` says for their number, and in each
-    group an index in Gray order is searched. Texts of similarity 0.8 are linked with a probability of 0.95, of 0.85 with 0.99;
-    equal shingle sets always share a code. Otherwise as ``near_duplicates``.
+    So this form takes fingerprints of ``words`` times 64 bits over distinct shingles of ``width`` words, and draws into one
+    neighbourhood those that differ in no more bits than the similarity lets expect, plus two deviations: 178 of 1,024 at 0.8. Codes meet
+    in as many groups, by as many of their bits, as ``banding`` says for their number, and in each group an index in Gray order is searched.
+    Within a neighbourhood the shingle sets themselves are compared, each with each, and linked at a Jaccard
+    similarity of ``similarity`` or more; so no text is in a group without a partner that similar. Texts of similarity 0.8 meet
+    with a probability of 0.95, of 0.85 with 0.99; equal shingle sets always are one vertex. ``code`` names the shingle set. Otherwise as ``near_duplicates``.
     """
-    spark = docs.sparkSession
-    name = f"geolode_wide_{width}_{seed}_{words}"
-    kernel_udf(spark, name, "WideSimHash", "binary", width=width, seed=seed, words=words)
-    marked = stored(docs.select(F.col(id_col).alias("doc_id"), F.call_udf(name, text_bytes(F.col(text_col))).alias("code")))
-    codes = marked.groupBy("code").agg(F.min("doc_id").alias("least"))
-    bits, tables = banding(marked.agg(F.approx_count_distinct("code")).first()[0], similarity)
-    dealt = kernel_map(codes.select("code"), "WideKeys", "key bigint, code binary", tables=tables, bits=bits)
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    return similar_rows(stored(rows), width, similarity, seed, words).select("doc_id", "code", "component_id")
+
+
+def similar_rows(rows: DataFrame, width: int = 5, similarity: float = 0.8, seed: int = 42, words: int = 16) -> DataFrame:
+    """``similar_groups`` of stored rows (row, doc_id, text) to (row, doc_id, code, component_id); ``row`` is unique, and the same whenever it is read."""
+    spark = rows.sparkSession
+    code, shingles = f"geolode_wide_{width}_{seed}_{words}", f"geolode_shingles_{width}_{seed}"
+    kernel_udf(spark, code, "WideSimHash", "binary", width=width, seed=seed, words=words)
+    kernel_udf(spark, shingles, "ShingleSet", "binary", width=width, seed=seed)
+    text, short = text_bytes("text"), lambda c: F.unhex(F.md5(c))
+    marked = stored(rows.select("row", "doc_id", F.call_udf(code, text).alias("wide"), short(F.call_udf(shingles, text)).alias("code"), F.length(text).cast("bigint").alias("size")))
+    wide = marked.select("wide").distinct()
+    bits, tables = banding(marked.agg(F.approx_count_distinct("wide")).first()[0], similarity)
+    dealt = kernel_map(wide, "WideKeys", "key bigint, code binary", tables=tables, bits=bits)
     dealt = dealt.repartition("key").sortWithinPartitions("key")
-    links = kernel_map(dealt, "WideLinks", "a binary, b binary", limit=differing_bits(similarity, 64 * words))
-    short = lambda c: F.unhex(F.md5(c))
-    marked, codes = (x.withColumn("code", short(F.col("code"))) for x in (marked, codes))
-    return _grouped(marked, codes, links.select(short(F.col("a")).alias("a"), short(F.col("b")).alias("b")))
-
-
-def _grouped(marked: DataFrame, codes: DataFrame, links: DataFrame) -> DataFrame:
+    near = kernel_map(dealt, "WideLinks", "a binary, b binary", limit=differing_bits(similarity, 64 * words))
+    near = connected_components(near.select(short(F.col("a")).alias("a"), short(F.col("b")).alias("b")))
+
+    sets = marked.groupBy("code").agg(F.min("doc_id").alias("least"), F.min("row").alias("row"), F.min("size").alias("size"), F.min(short(F.col("wide"))).alias("wide"))
+    sets = stored(sets.join(near, sets.wide == near.vertex, "left").select("code", "least", "row", "size", F.coalesce("root", "wide").alias("root")))
+    several = summed(sets, "root", F.count("*").alias("n"), F.sum("size").alias("bytes")).filter("n > 1")
+    parts = F.greatest(F.least(F.lit(PARTS), F.ceil(F.col("n") / PART_SETS)), F.ceil(F.col("bytes") / PART_BYTES)).cast("int")
+    compared = sets.join(several.select("root", parts.alias("parts")), "root").select("row", "code", "root", "parts", F.pmod(F.xxhash64("code"), "parts").cast("int").alias("part"))
+    compared = rows.select("row", "text").join(compared, "row").select("code", "root", "parts", "part", F.call_udf(shingles, text).alias("set"))
+    compared = compared.select("code", "root", "part", "set", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    key = F.xxhash64("root", F.least("part", "other"), F.greatest("part", "other")).alias("key")
+    side = F.when(F.col("part") == F.col("other"), 2).otherwise((F.col("part") > F.col("other")).cast("int")).alias("side")
+    compared = compared.select(key, side, "code", "set").repartition("key").sortWithinPartitions("key")
+    links = kernel_map(compared, "SetLinks", "a binary, b binary", similarity=similarity)
+    return _grouped(marked, sets.select("code", "least"), links, "row")
+
+
+def _grouped(marked: DataFrame, codes: DataFrame, links: DataFrame, *others: str) -> DataFrame:
     roots = connected_components(links)
     owner = codes.join(roots, codes.code == roots.vertex, "left").select("code", F.coalesce("root", "code").alias("root"), "least")
     owner = stored(owner)
     smallest = summed(owner, "root", F.min("least").alias("component_id"))
     of_code = owner.join(smallest, "root").select("code", "component_id")
-    return marked.join(of_code, "code").select("doc_id", "code", "component_id")
+    return marked.join(of_code, "code").select(*others, "doc_id", "code", "component_id")
 
 
 def op5_simhash(spark, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import itertools
 import math
+import random
 import struct
 
 import pytest
@@ -146,3 +147,15 @@ def test_wide_groups(frame, corpus):
     assert {out[200 + k] for k in range(6)} == {41}
     assert {out[i] for i in (50, *range(220, 228))} == {50}
     assert len({out[i] for i in range(120) if i not in (41, 50)}) > 90
+
+
+def test_wide_groups_keep_a_family_of_one_template_apart(frame):
+    """Texts of one template, each pair at 0.70, are no near duplicates, though some of their fingerprints lie within the limit; a pair at 0.9 among them is."""
+    r = random.Random(11)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(8))
+    core = [word() for _ in range(140)]
+    texts = [core + [word() for _ in range(29)] for _ in range(700)]
+    texts.append([*texts[600][:-8], *(word() for _ in range(8))])
+    out = {r.doc_id: r.component_id for r in simhash.similar_groups(frame([(i, " ".join(t), "en", "x", None) for i, t in enumerate(texts)])).collect()}
+    assert out[700] == 600
+    assert sum(i != c for i, c in out.items()) == 1

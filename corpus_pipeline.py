@@ -20,13 +20,15 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of shingle sets (five words) that are 0.8 alike."""
-    groups = simhash.similar_groups(docs)
-    kept = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id"), F.col("code").alias("_code")).distinct()
-    several = kept.groupBy("_id").count().filter("count > 1").limit(1).count() or docs.groupBy("doc_id").count().filter("count > 1").limit(1).count()
-    if several:
-        docs = docs.groupBy("doc_id").agg(F.min(F.struct(*[c for c in docs.columns if c != "doc_id"])).alias("_r")).select("doc_id", *[F.col(f"_r.`{c}`").alias(c) for c in docs.columns if c != "doc_id"]).select(*docs.columns)
-    return docs.join(kept.select("_id").distinct(), docs.doc_id.eqNullSafe(F.col("_id")), "left_semi")
+    """The document with the smallest id of each group of shingle sets (five words) that are 0.8 alike; null ids come last, then a hash of the text decides.
+
+    Rows are told apart by a number of their own, so those of equal or null ids stay wherever their texts are in different groups.
+    """
+    rows = stored(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")))
+    order = F.struct(F.col("_row.doc_id").isNull().alias("unnamed"), F.col("_row.doc_id").alias("id"), F.xxhash64("_row.text").alias("hash"), F.col("row").alias("row"))
+    groups = simhash.similar_rows(rows.select("row", order.alias("doc_id"), F.col("_row.text").alias("text")))
+    kept = groups.filter("row = component_id.row").select("row")
+    return rows.join(kept, "row", "left_semi").select("_row.*")
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

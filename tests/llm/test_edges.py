@@ -78,3 +78,21 @@ def test_pipeline(spark, as_tables, corpus):
 
 def test_pipeline_on_an_empty_table(spark, as_tables):
     assert corpus_pipeline.run(spark, as_tables([])).count() == 0
+
+
+def test_near_duplicates_of_equal_and_null_ids(spark, frame, corpus):
+    """One row of each group stays, whatever its id; other texts under the same id are no duplicates."""
+    texts = [corpus[i][1] for i in (1, 50, 2, 3, 45, 6)]  # unlike each other
+    copy = corpus[-20][1]  # a near copy of row 50
+    assert corpus[-20][0] == 221
+    rows = [(None, texts[0]), (None, texts[2]), (None, texts[3]), (7, texts[4]), (7, texts[5]), (7, texts[5]), (8, texts[1]), (8, copy), (9, texts[0])]
+    out = corpus_pipeline.drop_near_duplicates(spark, frame([(i, t, "en", "x", k) for k, (i, t) in enumerate(rows)]), "")
+    got = sorted((r.doc_id or 0, r.text) for r in out.collect())
+    assert len(got) == 6
+    assert [x for x in got if x[0] != 8] == sorted([(0, texts[2]), (0, texts[3]), (7, texts[4]), (7, texts[5]), (9, texts[0])])
+    assert [x[1] in (texts[1], copy) for x in got if x[0] == 8] == [True]
+
+
+def test_null_ids_are_not_one_document(spark, frame, corpus):
+    rows = [(None if i % 3 else i, corpus[i][1], "en", "x", None) for i in range(60) if len(corpus[i][1].split()) > 20]
+    assert corpus_pipeline.drop_near_duplicates(spark, frame(rows), "").count() == len({t for _, t, *_ in rows})

@@ -9,6 +9,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from geolode.llm.common import documents, id_crc, kernel_udf, text_bytes
 
@@ -63,23 +64,27 @@ def svm(x: np.ndarray, rows: np.ndarray, y: np.ndarray, cost: float = 10.0, roun
 
 
 def fit(labelled: DataFrame, sample: int = SAMPLE, dims: int = DIMS, lang_col: str = "lang", text_col: str = "text") -> Model:
-    """Learns from a sample of ``labelled`` rows: about ``sample`` in all, as many of each language as there are or an equal share.
+    """Learns from a sample of ``labelled`` rows: ``sample`` distinct texts at most, as many of each language as there are or an equal share.
 
-    Rows are drawn by a hash of their text, so the draw is the same wherever they lie; rows without a letter
-    teach nothing. The driver gets ``sample`` vectors of ``dims`` numbers, however large the table is.
+    Of each language those with the smallest hashes are drawn, each text once, so the draw is the same wherever rows lie and however
+    often a text is repeated; rows without a letter teach nothing. The driver gets ``sample`` vectors of ``dims`` numbers at most, however large the table is.
     """
     spark = labelled.sparkSession
     name = f"geolode_grams_{dims}"
     kernel_udf(spark, name, "GramVector", "binary", dims=dims)
     rows = labelled.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    counts = {r[0]: r[1] for r in rows.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(sample).collect()}
+    rows = rows.select(F.col(lang_col).alias("lang"), F.xxhash64(F.col(text_col), F.lit(5)).alias("h"), F.col(text_col).alias("text"))
+    counts = {r[0]: r[2] for r in rows.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct("h")).orderBy(F.desc("n"), "lang").limit(sample).collect()}
     if not counts:
         return Model((), b"", b"", b"")
     each = max(1, sample // len(counts))
-    share = F.create_map(*[F.lit(v) for k, n in counts.items() for v in (k, min(1.0, each / n))])
-    draw = F.pmod(F.xxhash64(F.col(text_col), F.lit(5)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    drawn = rows.filter(draw < share[F.col(lang_col)]).select(F.col(lang_col).alias("lang"), F.xxhash64(text_col).alias("h"), F.call_udf(name, text_bytes(F.col(text_col))).alias("v"))
-    got = sorted(drawn.limit(2 * sample).collect(), key=lambda r: (r.lang, r.h))
+    share = F.create_map(*[F.lit(v) for k, n in counts.items() for v in (k, min(1.0, (2 * each + 50) / n))])  # more than needed, whatever the estimate's error
+    place = F.pmod("h", F.lit(1 << 30))
+    few = rows.filter(place / F.lit(float(1 << 30)) < share[F.col("lang")]).select("lang", "h").distinct()
+    first = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(1 << 30)), "h"))
+    drawn = F.broadcast(few.withColumn("first", first).filter(F.col("first") <= each).select("lang", "h"))
+    texts = rows.join(drawn, ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text"))
+    got = sorted(texts.select("lang", "h", F.call_udf(name, text_bytes("text")).alias("v")).collect(), key=lambda r: (r.lang, r.h))
     if not got:
         return Model((), b"", b"", b"")
     lang = np.array([r.lang for r in got])

@@ -159,3 +159,12 @@ def test_wide_groups_keep_a_family_of_one_template_apart(frame):
     out = {r.doc_id: r.component_id for r in simhash.similar_groups(frame([(i, " ".join(t), "en", "x", None) for i, t in enumerate(texts)])).collect()}
     assert out[700] == 600
     assert sum(i != c for i, c in out.items()) == 1
+
+
+def test_language_sample_of_repeated_texts(frame, corpus):
+    """A text that fills a language does not decide whether the language is learned, nor crowd out others."""
+    words = {x[2]: x[1] for x in corpus[:4]}
+    for k in range(12):
+        rows = [(i, f"{words['de']} {k}", "de", "x", None) for i in range(300)] + [(i, f"{words['fr']} {i}", "fr", "x", None) for i in range(300)]
+        model = language.fit(frame(rows), sample=40)
+        assert model.languages == ("de", "fr")

@@ -14,7 +14,9 @@ from geolode.shared import stored
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language; those without a letter (``und``) go. A missing label gets the prediction."""
+    """Documents in a language; those without a letter (``und``) go. A missing label gets the prediction, or stays missing where no row has a label to learn from."""
+    if not docs.filter("lang is not null and text is not null").limit(1).count():
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
     found = language.identify(docs, F.lit(True)).filter(F.col("lang_pred") != language.UNKNOWN)
     return found.select(*[F.coalesce(F.col("_row.lang"), F.col("lang_pred")).alias(c) if c == "lang" else F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
 

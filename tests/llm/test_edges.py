@@ -96,3 +96,9 @@ def test_near_duplicates_of_equal_and_null_ids(spark, frame, corpus):
 def test_null_ids_are_not_one_document(spark, frame, corpus):
     rows = [(None if i % 3 else i, corpus[i][1], "en", "x", None) for i in range(60) if len(corpus[i][1].split()) > 20]
     assert corpus_pipeline.drop_near_duplicates(spark, frame(rows), "").count() == len({t for _, t, *_ in rows})
+
+
+def test_languages_of_an_unlabelled_table(spark, frame, corpus):
+    out = corpus_pipeline.keep_languages(spark, frame([(i, t, None, s, n) for i, t, _, s, n in corpus]), "")
+    assert out.count() == sum(any(ch.isalpha() for ch in t or "") for _, t, *_ in corpus)
+    assert out.filter("lang is not null").count() == 0

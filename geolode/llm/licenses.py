@@ -54,7 +54,8 @@ def scan(docs: DataFrame, base: dict[str, str] = BASE, templates: dict[str, str]
     Every pair of neighbouring words of every whole text is joined to its places in the templates, which are few and
     travel to the tasks. A hit votes for the diagonal (place in the text less place in the template). Base phrases
     count where all of a phrase's pairs stand on one diagonal. Other templates gather the votes of diagonals no more
-    than ``drift`` apart, as an inserted or a lost word shifts the rest, and count if the distinct pairs found make up ``share`` of the
+    than ``drift`` apart, as an inserted or a lost word shifts the rest (at a ``share`` of 0.9 only templates of 11 words or more bear the
+    pair that an inserted word breaks, and of 21 the two of a lost inner word; templates under 11 words match exactly only), and count if the distinct pairs found make up ``share`` of the
     template within one and a half times its length. ``score`` is the largest such share, or 1 for a base
     phrase; 0 without any. Null and empty texts have no words, no labels (empty strings) and null places. Rows are told apart
     by their place in the scan, so repeated rows and null ids each get their own result. An empty table gives an empty result. Other columns are ignored.

@@ -21,7 +21,7 @@ def earlier_passages(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id
     empty texts, and texts of fewer words than a window, lose nothing. An empty table gives an empty result.
     Columns of any name pass through inside ``_row``.
     """
-    spans = repeated_spans(keyed(docs, id_col, text_col), window, gram, True, True, "EarlierWindows")
+    spans = repeated_spans(keyed(docs, id_col, text_col), window, gram, True, "EarlierWindows")
     return without_spans(docs, spans, True, id_col, text_col)
 
 

@@ -20,7 +20,7 @@ def repeated_strings(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id
     is bytes, as cuts may fall within a character. Null and empty texts, and texts shorter than a window, lose
     nothing. An empty table gives an empty result. Columns of any name pass through inside ``_row``.
     """
-    spans = repeated_spans(keyed(docs, id_col, text_col), window, gram, False, False, "RepeatedStrings")
+    spans = repeated_spans(keyed(docs, id_col, text_col), window, gram, False, "RepeatedStrings")
     return without_spans(docs, spans, False, id_col, text_col)
 
 

@@ -134,6 +134,17 @@ def test_common_grams_change_no_result(spark, corpus, as_tables, monkeypatch):
     assert [sorted(map(repr, f(spark, folder).collect())) for f in (substrings.op4_fm_substrings, suffixes.op6_suffix_arrays)] == want
 
 
+def test_keys_and_shards_change_no_result(spark, corpus, as_tables, monkeypatch):
+    """Whatever the hashes that deal windows out, and however few texts a shard holds, the same words and bytes go: indexes find them, not hashes."""
+    folder = as_tables(corpus)
+    run = lambda: [sorted(map(repr, f(spark, folder).collect())) for f in (substrings.op4_fm_substrings, suffixes.op6_suffix_arrays)]
+    want = run()
+    for bits, full in ((64, 64), (2, 1 << 20), (3, 3000)):
+        monkeypatch.setattr(repeats, "BITS", bits)
+        monkeypatch.setattr(repeats, "FULL", full)
+        assert run() == want
+
+
 def test_op7(spark, as_tables, corpus):
     own = [
         (1000, "Some words. All rights reserved.\nCC-BY 4.0, cc by; ALL RIGHTS RESERVED", "en", None, None), (1001, "This work is licensed under the GNU General Public License, version 3.", "en", None, None),

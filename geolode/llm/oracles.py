@@ -38,28 +38,44 @@ SELECT d.doc_id, coalesce(n_bytes, 0) AS n_bytes, coalesce(n_removed, 0) AS n_re
 FROM documents d LEFT JOIN cut USING (doc_id)"""
 
 
-def scans(base: dict[str, str] = licenses.BASE, templates: dict[str, str] = licenses.TEMPLATES, share: float = licenses.SHARE, drift: int = licenses.DRIFT) -> str:
-    """Operator 7: base phrases by comparing runs of words; the other labels by votes of word pairs for diagonals."""
+def scans(base: dict[str, str] = licenses.BASE, templates: dict[str, str] = licenses.TEMPLATES) -> str:
+    """Operator 7: base phrases by comparing runs of words; the other labels by votes of word grams for diagonals, and edit distances of spans."""
     phrases = ", ".join(f"({p.split()!r}, '{label}')" for p, label in base.items())
-    pairs = ", ".join(f"({n}, {at}, '{w[at]}', '{w[at + 1]}', {len(w)}, '{label}')" for n, (p, label) in enumerate(templates.items()) for w in [p.split()] for at in range(len(w) - 1))
+    own = licenses.listed({}, templates)
+    grams = ", ".join(f"({n}, {at}, {w[at : at + licenses.gram_of(len(w), False)]!r})" for n, (w, _, _) in enumerate(own) for at in range(len(w) - licenses.gram_of(len(w), False) + 1))
+    facts = []
+    for n, (w, label, _) in enumerate(own):
+        known = list(dict.fromkeys(w))
+        coded = "".join(licenses.LETTERS[known.index(x)] for x in w)
+        marks = [licenses.LETTERS[i] for i, x in enumerate(known) if x in licenses.MARKS]
+        facts.append(f"({n}, {known!r}, '{coded}', {marks!r}::VARCHAR[], {len(w)}, {licenses.edits(len(w))}, {licenses.votes_of(len(w), False)}, '{label}')")
     return rf"""
 WITH phrases(words, label) AS (VALUES {phrases}),
-pairs(template, place, first, second, size, label) AS (VALUES {pairs}),
+grams(template, place, words) AS (VALUES {grams}),
+facts(template, vocabulary, coded, marks, size, edits, least, label) AS (VALUES {", ".join(facts)}),
 listed AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS ws FROM documents),
 words AS (SELECT doc_id, ws, unnest(ws) AS word, generate_subscripts(ws, 1) - 1 AS pos FROM listed),
 own AS (
     SELECT doc_id, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word, list_distinct(list(label)) AS labels
     FROM words JOIN phrases p ON word = p.words[1] AND ws[pos + 1:pos + len(p.words)] = p.words GROUP BY doc_id
 ),
-hits AS (SELECT doc_id, template, size, label, place, pos, pos - place AS diagonal FROM words JOIN pairs ON word = first AND ws[pos + 2] = second),
+hits AS (SELECT DISTINCT doc_id, template, place, pos - place AS diagonal FROM words JOIN grams g ON word = g.words[1] AND ws[pos + 1:pos + len(g.words)] = g.words),
 diagonals AS (SELECT DISTINCT doc_id, template, diagonal FROM hits),
-steps AS (SELECT *, coalesce(diagonal - lag(diagonal) OVER (PARTITION BY doc_id, template ORDER BY diagonal) > {drift}, true) AS new FROM diagonals),
-bands AS (SELECT *, sum(new::INT) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS band FROM steps),
-merged AS (
-    SELECT doc_id, label, count(DISTINCT place) / (size - 1) AS part, max(pos) - min(pos) + 2 AS span, size
-    FROM hits JOIN bands USING (doc_id, template, diagonal) GROUP BY doc_id, template, band, label, size
+likely AS (
+    SELECT d.doc_id, d.template, d.diagonal FROM diagonals d JOIN hits h ON d.doc_id = h.doc_id AND d.template = h.template AND h.diagonal BETWEEN d.diagonal AND d.diagonal + {licenses.DRIFT}
+    JOIN facts f ON d.template = f.template GROUP BY ALL HAVING count(DISTINCT h.place) >= any_value(f.least)
 ),
-found AS (SELECT doc_id, max(part) AS score, list_distinct(list(label)) AS labels FROM merged WHERE part >= {share} AND span <= 1.5 * size + {drift} GROUP BY doc_id)
+starts AS (SELECT doc_id, template, unnest(range(greatest(diagonal - edits, 0), greatest(diagonal + edits, greatest(diagonal - edits, 0)) + 1)) AS a, diagonal FROM likely JOIN facts USING (template)),
+spans AS (SELECT DISTINCT doc_id, template, a, least(a + unnest(range(size - edits, size + edits + 1)), diagonal + size + 2 * edits) AS z FROM starts JOIN facts USING (template)),
+coded AS (
+    SELECT doc_id, template, array_to_string(list_transform(ws[a + 1:z], lambda w: CASE WHEN list_contains(vocabulary, w) THEN '{licenses.LETTERS}'[list_position(vocabulary, w)] WHEN list_contains({licenses.MARKS!r}, w) THEN '!' ELSE '?' END), '') AS t
+    FROM spans JOIN facts USING (template) JOIN listed USING (doc_id)
+),
+close AS (
+    SELECT doc_id, template, min(levenshtein(t, coded)) AS distance FROM coded JOIN facts USING (template)
+    WHERE NOT contains(t, '!') AND len(list_filter(marks, lambda m: NOT contains(t, m))) = 0 GROUP BY doc_id, template
+),
+found AS (SELECT doc_id, max(1 - distance / size) AS score, list_distinct(list(label)) AS labels FROM close JOIN facts USING (template) WHERE distance <= edits GROUP BY doc_id)
 SELECT l.doc_id, len(ws) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
     array_to_string(list_sort(coalesce(own.labels, [])), ',') AS base_labels,
     array_to_string(list_sort(list_distinct(coalesce(own.labels, []) || coalesce(found.labels, []))), ',') AS labels,

@@ -167,6 +167,45 @@ def test_op7(spark, as_tables, corpus):
     assert (got[1003].labels, got[1003].score) == ("", 0.0)
 
 
+def test_license_spans_are_verified(frame):
+    """Each label against plain edit distances of all spans of a text, in words."""
+    marks = set(licenses.MARKS)
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            new = [i]
+            for j, y in enumerate(b, 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+            row = new
+        return row[-1]
+
+    def plain(words):
+        labels = set()
+        for t, label in licenses.TEMPLATES.items():
+            t = t.split()
+            e = licenses.edits(len(t))
+            for a in range(len(words)):
+                for n in range(len(t) - e, len(t) + e + 1):
+                    span = words[a : a + n]
+                    if label not in labels and set(span) & marks == set(t) & marks and distance(span, t) <= e:
+                        labels.add(label)
+        return labels | {label for p, label in licenses.BASE.items() if f" {p} " in f" {' '.join(words)} "}
+
+    mit = "released under the mit license"
+    texts = [
+        mit, mit + " mit license" * 3, "mit license " * 4 + mit, "really " + mit, "released under the nice mit license", "released under the bsd license", "released under the mit bsd license", "under the mit license",
+        "licensed under the apache software license version 2 0", "licensed under the apache license version 1 0", "licensed under the gnu lesser general public license version 2", "this work is licensed under the gnu general public license version 2",
+        "x y you can redistribute it and modify it under the strict terms of the gnu general public license as published by the free software foundation z", "permission to use copy modify and distribute this software for any purpose without fee is hereby granted now",
+        "is free and unencumbered software released into the public", "licensed under cc by sa 4 0 and licensed under cc by nc 4 0", "the license under the license under the license",
+    ]
+    got = {r.doc_id: r for r in licenses.scan(frame([(i, t, "en", "x", None) for i, t in enumerate(texts)])).collect()}
+    for i, t in enumerate(texts):
+        assert got[i].labels == ",".join(sorted(plain(t.split()))), t
+    assert [got[i].labels for i in (0, 1, 2, 3, 4, 5, 8)] == ["mit"] * 5 + ["", "apache-2.0"]
+    assert got[0].score == got[1].score == 1.0 and got[4].score == 0.8
+
+
 def test_op9(spark, unique, as_tables):
     item = "the tioning erly whand ingthe edtion erand lytheing whtion anded erwh lying edand tionthe"
     off = item.replace("whand", "whend").replace("lying", "lyng")

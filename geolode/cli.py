@@ -14,7 +14,7 @@ from geolode.plans import model as m
 def _session():
     from pyspark.sql import SparkSession
 
-    return SparkSession.builder.config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").config("spark.sql.session.timeZone", "UTC").getOrCreate()
+    return SparkSession.getActiveSession() or SparkSession.builder.config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").config("spark.sql.session.timeZone", "UTC").getOrCreate()
 
 
 def _ref(name: str) -> m.ObjectRef:

@@ -108,8 +108,9 @@ def fingerprint(schema: T.StructType) -> str:
 
 
 def mark(df: DataFrame, column: str, **declared) -> DataFrame:
-    """``df`` with a geometry column's metadata."""
-    return df.withMetadata(column, df.schema[column].metadata | geometry(**declared))
+    """``df`` with a geometry column's metadata, in place of what an earlier contract said."""
+    other = {k: v for k, v in df.schema[column].metadata.items() if not k.startswith(PREFIX + "geometry.")}
+    return df.withMetadata(column, other | geometry(**declared))
 
 
 def arrow_schema(schema: T.StructType):

@@ -17,6 +17,7 @@ from geolode.plans import model as m
 from geolode.plans import plan as plans
 from geolode.plans import validate
 from geolode.plans.lower import Lowering, quoted, read_frame
+from geolode.plans.operands import Operands
 from geolode.plans.parameters import Bag
 from geolode.sources import catalog
 from geolode.streaming.batches import BatchStream
@@ -69,23 +70,29 @@ class Engine:
     def query(self, q: m.Query, bag: Bag | None = None) -> DataFrame:
         """The query's result, lazily; geometry columns carry a contract."""
         validate.query(q, self.limits, self.profile)
-        if any(c.recursive for c in q.common_table_expressions):
-            self.spark.conf.set("spark.sql.cteRecursionLevelLimit", "1000")
+        operands = Operands(q, self._schema, bag or {})
+        operands.check()
         try:
             df = Lowering(self.spark, self._resolve, bag or {}, self.profile, self.limits).run(q)
         except EngineError:
             raise
         except Exception as e:
             raise from_spark(e, "prepare") from e
-        return self._marked(df, q)
+        return self._marked(df, q, operands)
 
-    def _marked(self, df: DataFrame, q: m.Query) -> DataFrame:
-        """Geometry that a function returns gets a contract of its own: encoded, its SRID to be read from the cells."""
+    def _schema(self, ref: m.ObjectRef):
+        try:
+            return self.table(ref).schema
+        except EngineError:
+            return None
+
+    def _marked(self, df: DataFrame, q: m.Query, operands: Operands) -> DataFrame:
+        """Geometry that a function returns gets a contract of its own: encoded, with the SRID and the dimensions that follow from its operands'."""
         if len(df.columns) != len(q.projection) or len(set(df.columns)) < len(df.columns):
             return df
         for name, v in zip(df.columns, q.projection, strict=True):
             if isinstance(v.expression, m.Spatial) and FUNCTIONS[v.expression.function].returns == "geometry" and dict(df.dtypes)[name] == "binary":
-                df = contract.mark(df, name, dimensions="unknown")
+                df = contract.mark(df, name, **operands.declared(v.expression))
         return df
 
     def explain(self, q: m.Query, bag: Bag | None = None) -> str:

@@ -18,6 +18,10 @@ class EngineError(Exception):
                 raise ValueError(f"unknown {value!r}")
         super().__init__(message)
         self.category, self.message, self.phase, self.effect, self.retry, self.delay_ms = category, message, phase, effect, retry, delay_ms
+        #: Rows that a write's target refused, where they were looked for.
+        self.diagnostics = None
+        #: Where a read found a bad cell: the row in the whole result, from 0, and the column.
+        self.source_row, self.field = None, None
 
     def document(self) -> dict:
         retry = {"kind": self.retry} | ({"delay_ms": self.delay_ms} if self.retry == "after" else {})

@@ -43,8 +43,9 @@ def spatial_join(left: DataFrame, right: DataFrame, a: str, b: str, predicate: s
     names = {c: c if c not in left.columns else f"{c}_right" for c in right.columns}
 
     def dealt(df: DataFrame, c: str, by: float, tag: str) -> DataFrame:
+        """Flat columns, so that Catalyst drops those that nobody reads; the geometry is sent once."""
         g = F.col(quoted(c))
-        row = df.select(F.struct(*[F.col(quoted(x)) for x in df.columns]).alias(f"{tag}_row"), g.alias(f"{tag}_g"), call("bbox", g).alias("box"), call("is_box", g).alias(f"{tag}_box"), call("srid", g).alias(f"{tag}_srid"))
+        row = df.select(*[F.col(quoted(x)).alias(f"{tag}{i}") for i, x in enumerate(df.columns)], call("bbox", g).alias("box"), call("is_box", g).alias(f"{tag}_box"), call("srid", g).alias(f"{tag}_srid"))
         row = row.filter("box IS NOT NULL").select("*", *[(F.col(f"box.{k}{end}") + F.lit(sign * by)).alias(f"{tag}_{k}{end}") for k in "xy" for end, sign in (("min", -1), ("max", 1))])
         for k, size in zip("xy", sizes, strict=True):
             place = lambda end, k=k, size=size: F.floor(F.col(f"{tag}_{k}{end}") / F.lit(size))
@@ -54,7 +55,7 @@ def spatial_join(left: DataFrame, right: DataFrame, a: str, b: str, predicate: s
     both = dealt(left, a, grow, "l").join(dealt(right, b, 0.0, "r"), ["cx", "cy"])
     home = [F.col(f"c{k}") == F.floor(F.greatest(f"l_{k}min", f"r_{k}min") / F.lit(size)) for k, size in zip("xy", sizes, strict=True)]
     meet = [(F.col(f"l_{k}min") <= F.col(f"r_{k}max")) & (F.col(f"r_{k}min") <= F.col(f"l_{k}max")) for k in "xy"]
-    exact = call(predicate, F.col("l_g"), F.col("r_g"), *([F.lit(distance)] if distance is not None else []))
+    exact = call(predicate, F.col(f"l{left.columns.index(a)}"), F.col(f"r{right.columns.index(b)}"), *([F.lit(distance)] if distance is not None else []))
     same = F.col("l_srid") == F.col("r_srid")
     if predicate == "intersects":
         exact = (F.col("l_box") & F.col("r_box") & same) | exact
@@ -63,6 +64,6 @@ def spatial_join(left: DataFrame, right: DataFrame, a: str, b: str, predicate: s
         meet += [(F.col(f"{out}_{k}min") <= F.col(f"{own}_{k}min")) & (F.col(f"{own}_{k}max") <= F.col(f"{out}_{k}max")) for k in "xy"]
         exact = (F.col(f"{out}_box") & same) | exact
     kept = both
-    for test in (*home, *meet, exact):
+    for test in (*meet, *home, exact):
         kept = kept.filter(test)
-    return kept.select(*[F.col(f"l_row.{quoted(c)}").alias(c) for c in left.columns], *[F.col(f"r_row.{quoted(c)}").alias(n) for c, n in names.items()])
+    return kept.select(*[F.col(f"l{i}").alias(c) for i, c in enumerate(left.columns)], *[F.col(f"r{i}").alias(n) for i, n in enumerate(names.values())])

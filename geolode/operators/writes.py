@@ -19,11 +19,12 @@ from geolode.errors import EngineError, from_spark
 from geolode.operators.losses import LossReport, compare
 from geolode.plans import model as m
 from geolode.plans import validate
-from geolode.plans.lower import quoted
+from geolode.plans.lower import INDEX, quoted
 from geolode.shared import release, stored
 from geolode.sources.catalog import full_name
 
 EXAMPLES = 10
+SIDES = ("xmin", "ymin", "xmax", "ymax")
 
 
 @dataclass
@@ -90,10 +91,17 @@ def prepare(spark: SparkSession, op: m.Write, source: DataFrame, profile: valida
     return Prepared(op, source, report, contract.fingerprint(known) if known else "", target, exists)
 
 
-def _key_rules(rows: DataFrame, keys: tuple[str, ...]) -> None:
+def _refused(category: str, message: str, rows: Diagnostics | None) -> EngineError:
+    """An error that says which rows the target refused."""
+    error = EngineError(category, message, "write", "rolled_back")
+    error.diagnostics = rows
+    return error
+
+
+def _key_rules(rows: DataFrame, keys: tuple[str, ...], source: DataFrame) -> None:
     bad = rows.filter(" OR ".join(f"{quoted(k)} IS NULL" for k in keys)).limit(1).count()
     if bad:
-        raise EngineError("data_mapping", "a key is null", "write", "rolled_back")
+        raise _refused("data_mapping", "a key is null", diagnose(source, {k: f"{quoted(k)} IS NOT NULL" for k in keys}))
     if rows.groupBy(*[F.col(quoted(k)) for k in keys]).count().filter("count > 1").limit(1).count():
         raise EngineError("conflict", "a key stands twice in the input", "write", "rolled_back")
 
@@ -135,6 +143,11 @@ def _content(op: m.Write, rows: DataFrame, target: DataFrame | None, evolve: boo
     return merged.unionByName(_shaped(fresh, base, False)), {"updated": hits, "inserted": fresh}
 
 
+def indexed(df: DataFrame) -> list[str]:
+    """Geometries beside which an indexed write has put the columns of their boxes."""
+    return [f.name for f in df.schema.fields if contract.is_spatial(f) and all(f"{f.name}_{k}" in df.columns and df.schema[f"{f.name}_{k}"].metadata.get(INDEX) == f.name for k in SIDES)]
+
+
 def boxed(df: DataFrame) -> DataFrame:
     """Bounding-box columns beside each geometry, rows ordered by the place of its box: what a spatial index is to files."""
     from geolode.functions import spatial
@@ -142,7 +155,9 @@ def boxed(df: DataFrame) -> DataFrame:
     own = [f.name for f in df.schema.fields if contract.is_spatial(f)]
     for c in own:
         box = spatial.call(df.sparkSession, "bbox", F.col(quoted(c)))
-        df = df.withColumn("__b", box).withColumns({f"{c}_{k}": F.col(f"__b.{k}") for k in ("xmin", "ymin", "xmax", "ymax")}).drop("__b")
+        df = df.withColumn("__b", box).withColumns({f"{c}_{k}": F.col(f"__b.{k}") for k in SIDES}).drop("__b")
+        for k in SIDES:
+            df = df.withMetadata(f"{c}_{k}", {INDEX: c})
     if not own:
         raise EngineError("schema", "a spatial index without a geometry", "prepare")
     return df.repartitionByRange(F.col(quoted(f"{own[0]}_xmin")), F.col(quoted(f"{own[0]}_ymin"))).sortWithinPartitions(f"{own[0]}_xmin", f"{own[0]}_ymin")
@@ -162,24 +177,26 @@ def write(spark: SparkSession, p: Prepared, evolve: bool = False, fault: Callabl
             if f.metadata:
                 rows = rows.withMetadata(f.name, f.metadata)
         received = rows.count()
+        index = op.create_spatial_index or (target is not None and op.mode not in ("create", "replace") and bool(indexed(target)))
         if op.keys:
-            _key_rules(rows, op.keys)
+            _key_rules(rows, op.keys, p.source)
         check_cells(rows)
         content, counted = _content(op, rows, target, evolve)
         if target is not None and op.mode not in ("create", "replace"):
             for f in target.schema.fields:
                 if not f.nullable and content.filter(F.col(quoted(f.name)).isNull()).limit(1).count():
-                    raise EngineError("data_mapping", f"{f.name}: a null where the target takes none", "write", "rolled_back")
+                    broken = diagnose(p.source, {f.name: f"{quoted(f.name)} IS NOT NULL"}) if f.name in rows.columns else None
+                    raise _refused("data_mapping", f"{f.name}: a null where the target takes none", broken)
                 if f.metadata:
                     content = content.withMetadata(f.name, f.metadata)
         counts = {k: v.count() for k, v in counted.items()}
-        if op.mode == "append" and not evolve and not op.create_spatial_index:
+        if op.mode == "append" and not evolve and not index:
             hook("staged")
             hook("before_publish")
             _shaped(rows, target, False).write.insertInto(p.target)
             hook("published")
         else:
-            (boxed(content) if op.create_spatial_index else content).write.format(form).saveAsTable(stage)
+            (boxed(content) if index else content).write.format(form).saveAsTable(stage)
             hook("staged")
             hook("before_publish")
             _swap(spark, stage, p.target, p.exists, hook)

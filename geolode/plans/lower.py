@@ -1,21 +1,23 @@
 """Queries to Spark SQL with named parameters, and table reads to DataFrame operations.
 
 What Spark lacks is rewritten before: DISTINCT ON to a row number, GROUPS frames to a RANGE over dense ranks, clusters over windows
-to a grouped step, recursion without duplicates to rounds that add only new rows. Everything else is left to Catalyst.
+to a grouped step, recursion without duplicates to rounds that add only new rows, an inner join on a spatial predicate to an equality
+on grid cells. Everything else is left to Catalyst.
 """
 
 from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
-from dataclasses import replace
+from dataclasses import dataclass, replace
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geolode.errors import EngineError, invalid, unsupported
 from geolode.functions import spatial
-from geolode.functions.catalog import aggregate
+from geolode.functions.catalog import BINARY_PREDICATES, aggregate
 from geolode.limits import Limits
 from geolode.operators.clusters import dbscan, k_means
 from geolode.plans import model as m
@@ -26,6 +28,36 @@ from geolode.shared import release, stored
 COMPARE = {"eq": "=", "ne": "<>", "lt": "<", "lte": "<=", "gt": ">", "gte": ">="}
 SCALAR = {"average": "avg", "minimum": "min", "maximum": "max"}
 ROUNDS = 1_000
+#: Metadata of a column that holds a side of a geometry's box: the geometry's name.
+INDEX = "geolode.index"
+
+
+#: Tests of two shapes that hold only if their boxes meet.
+MEETING = (BINARY_PREDICATES - {"disjoint"}) | {"d_within", "bounding_box_intersects", "bounding_box_contains", "bounding_box_contained_by"}
+
+
+@dataclass(frozen=True)
+class Meeting:
+    """A spatial test in the ON of join number ``join``: one column of each of two relations, whose shapes meet in cells of a size."""
+
+    join: int
+    test: m.Expression
+    left: m.ColumnRef
+    right: m.ColumnRef
+    grow: float
+    sizes: tuple[float, float]
+
+    def hidden(self, relation: str) -> list[str]:
+        side = {self.left.relation: "l", self.right.relation: "r"}.get(relation)
+        return [f"__{k}{side}{self.join}" for k in ("box", "plain", "srid", "x", "y")] if side else []
+
+
+def conjuncts(e: m.Expression | None) -> list[m.Expression]:
+    return [] if e is None else [y for x in e.arguments for y in conjuncts(x)] if isinstance(e, m.And) else [e]
+
+
+def joined(parts: list[m.Expression]) -> m.Expression | None:
+    return None if not parts else parts[0] if len(parts) == 1 else m.And(tuple(parts))
 
 
 def quoted(name: str) -> str:
@@ -40,6 +72,7 @@ class Lowering:
         self.args: dict[str, object] = {}
         self.names: dict[str, tuple[str, str]] = {}
         self.views: list[str] = []
+        self.meetings: list[Meeting] = []
 
     def run(self, q: m.Query) -> DataFrame:
         try:
@@ -68,7 +101,7 @@ class Lowering:
                     raise invalid("a recursive table needs a first part and a step")
                 inner[c.name] = ""
                 recursive = True
-            heads.append(f"{quoted(c.name)} AS ({self.query(c.query, inner)})")
+            heads.append(f"{quoted(c.name)}{f' MAX RECURSION LEVEL {ROUNDS}' * c.recursive} AS ({self.query(c.query, inner)})")
             scope[c.name] = ""
         head = f"WITH {'RECURSIVE ' * recursive}{', '.join(heads)} " if heads else ""
         return head + self._body(q, scope, head)
@@ -78,6 +111,14 @@ class Lowering:
             raise unsupported("row locks: reads are of snapshots")
         if any(isinstance(x, m.SpatialWindow) or (isinstance(x, m.Window) and x.frame and x.frame.units == "groups") for v in q.projection for x in validate.walk(v.expression)):
             q = self._staged(q, scope, head)
+        outer = self.meetings
+        q, self.meetings = self._meet(q, scope, head)
+        try:
+            return self._selected(q, scope)
+        finally:
+            self.meetings = outer
+
+    def _selected(self, q: m.Query, scope: dict[str, str]) -> str:
         select = ", ".join(self._projected(v, scope) for v in q.projection)
         tail = self._from(q, scope)
         if q.distinct_on:
@@ -97,17 +138,21 @@ class Lowering:
         return core
 
     def _projected(self, v: m.Projection, scope: dict[str, str]) -> str:
+        if isinstance(v.expression, m.Wildcard) and self.meetings:
+            own = [v.expression.relation] if v.expression.relation else sorted({r for x in self.meetings for r in (x.left.relation, x.right.relation)})
+            if hidden := [quoted(c) for x in self.meetings for r in own for c in x.hidden(r)]:
+                return f"{self.expression(v.expression, scope)} EXCEPT ({', '.join(hidden)})"
         return self.expression(v.expression, scope) + (f" AS {quoted(v.alias)}" if v.alias is not None else "")
 
     def _from(self, q: m.Query, scope: dict[str, str]) -> str:
-        out = "FROM " + self._source(q.source, q.derived_source, scope)
-        for j in q.joins:
+        out = "FROM " + self._celled(q.source, q.derived_source, scope)
+        for i, j in enumerate(q.joins):
             lateral = "LATERAL " * j.lateral
             if j.lateral and j.kind not in ("inner", "left", "cross"):
                 raise unsupported(f"LATERAL with {j.kind} join")
-            out += f" {j.kind.upper()} JOIN {lateral}{self._source(j.source, j.derived_source, scope)}"
+            out += f" {j.kind.upper()} JOIN {lateral}{self._celled(j.source, j.derived_source, scope)}"
             if j.on is not None:
-                out += f" ON {self.expression(j.on, scope)}"
+                out += f" ON {self._on(i, j.on, scope)}"
         if q.filter is not None:
             out += f" WHERE {self.expression(q.filter, scope)}"
         if q.group_by:
@@ -124,6 +169,99 @@ class Lowering:
         name = (scope[own] or quoted(own)) if own is not None else self.resolve(ref)
         return f"{name} AS {quoted(source.alias or ref.object)}"
 
+    # spatial joins
+
+    def _meet(self, q: m.Query, scope: dict[str, str], head: str) -> tuple[m.Query, list[Meeting]]:
+        """The query with spatial tests of WHERE in the joins that they belong to, and those tests of inner joins that become an equality on cells.
+
+        One test of a join is taken; the cells' sizes come from one aggregation of each side. Outer, lateral and recursive joins stay as they are.
+        """
+        sides = [(q.source, q.derived_source), *((j.source, j.derived_source) for j in q.joins)]
+        names = [d.alias if d else s.alias or s.object.object if s else None for s, d in sides]
+        if not q.joins or any(n is None for n in names) or len({n.lower() for n in names}) < len(names):
+            return q, []
+
+        def of(e: m.Expression) -> tuple[int, int] | None:
+            """Which relations a spatial test of two columns reads."""
+            if isinstance(e, m.Spatial) and e.function in MEETING and len(e.arguments) == 2 + (e.function == "d_within"):
+                two = e.arguments[:2]
+                if e.function == "d_within" and not (isinstance(e.arguments[2], m.Parameter) and e.arguments[2].name in self.bag):
+                    return None
+            elif isinstance(e, m.SpatialOperator) and e.operator in MEETING:
+                two = (e.left, e.right)
+            else:
+                return None
+            if not all(isinstance(x, m.Column) and x.column.relation in names for x in two):
+                return None
+            return names.index(two[0].column.relation), names.index(two[1].column.relation)
+
+        joins, rest = list(q.joins), []
+        if all(j.kind in ("inner", "cross") and not j.lateral for j in joins):
+            for e in conjuncts(q.filter):
+                at = of(e)
+                if at is None or at[0] == at[1]:
+                    rest.append(e)
+                    continue
+                k = max(at) - 1
+                joins[k] = replace(joins[k], kind="inner", on=joined([*conjuncts(joins[k].on), e]))
+            q = replace(q, joins=tuple(joins), filter=joined(rest))
+        found = []
+        for i, j in enumerate(joins):
+            tests = [(e, at) for e in conjuncts(j.on) if (at := of(e)) and max(at) == i + 1 and min(at) <= i]
+            if j.kind != "inner" or j.lateral or not tests:
+                continue
+            e, at = tests[0]
+            if at[0] > 0 and joins[at[0] - 1].lateral or at[1] > 0 and joins[at[1] - 1].lateral:
+                continue
+            two = e.arguments[:2] if isinstance(e, m.Spatial) else (e.left, e.right)
+            grow = float(self.bag[e.arguments[2].name].value) if isinstance(e, m.Spatial) and e.function == "d_within" else 0.0
+            try:
+                sizes = self._sizes([(sides[k], x.column) for k, x in zip(at, two, strict=True)], scope, head)
+            except AnalysisException:  # a side that cannot be read by itself
+                continue
+            found.append(Meeting(i, e, two[0].column, two[1].column, grow, tuple(s + grow for s in sizes)))
+        return q, found
+
+    def _sizes(self, sides, scope: dict[str, str], head: str) -> tuple[float, float]:
+        from geolode.operators.spatial_join import cell_sizes
+
+        frames = [self.spark.sql(f"{head}SELECT {quoted(c.field)} AS g FROM {self._source(source, derived, scope)}", args=self.args or None) for (source, derived), c in sides]
+        return cell_sizes(*frames, "g", "g")
+
+    def _celled(self, source: m.Source | None, derived: m.Derived | None, scope: dict[str, str]) -> str:
+        """A source whose rows are dealt to the cells that their boxes touch, for each spatial join that it is part of."""
+        out = self._source(source, derived, scope)
+        name = derived.alias if derived else source.alias or source.object.object
+        for x in self.meetings:
+            if name not in (x.left.relation, x.right.relation):
+                continue
+            column, grow = (x.left, x.grow) if name == x.left.relation else (x.right, 0.0)
+            box, plain, srid, cx, cy = map(quoted, x.hidden(name))
+            call = lambda f, c=column: f"{spatial.sql_name(f, 1)}({quoted(c.field)})"
+            place = lambda end, k, size, sign, b=box, g=grow: f"floor(({b}.{k}{end} {sign} {g!r}D) / {size!r}D)"
+            cells = lambda k, size: f"explode(sequence({place('min', k, size, '-')}, {place('max', k, size, '+')}))"  # noqa: E731, B023
+            out = f"(SELECT *, {call('bbox')} AS {box}, {call('is_box')} AS {plain}, {call('srid')} AS {srid} FROM {out})"
+            out = f"(SELECT *, {cells('x', x.sizes[0])} AS {cx} FROM {out} WHERE {box} IS NOT NULL)"
+            out = f"(SELECT *, {cells('y', x.sizes[1])} AS {cy} FROM {out}) AS {quoted(name)}"
+        return out
+
+    def _on(self, i: int, on: m.Expression, scope: dict[str, str]) -> str:
+        """ON; with cells, rows meet by an equality, boxes come next, and a pair is kept in the cell of its larger lower corners."""
+        x = next((x for x in self.meetings if x.join == i), None)
+        if x is None:
+            return self.expression(on, scope)
+        side = lambda c: [f"{quoted(c.relation)}.{quoted(h)}" for h in x.hidden(c.relation)]
+        (lb, lp, ls, lx, ly), (rb, rp, rs, rx, ry) = side(x.left), side(x.right)
+        g = f"{x.grow!r}D"
+        parts = [f"{lx} = {rx}", f"{ly} = {ry}"]
+        parts += [f"{lb}.{k}min - {g} <= {rb}.{k}max AND {rb}.{k}min <= {lb}.{k}max + {g}" for k in "xy"]
+        parts += [f"{c} = floor(greatest({lb}.{k}min - {g}, {rb}.{k}min) / {size!r}D)" for k, c, size in zip("xy", (lx, ly), x.sizes, strict=True)]
+        parts += [self.expression(e, scope) for e in conjuncts(on) if e is not x.test]
+        exact = self.expression(x.test, scope)
+        if isinstance(x.test, m.Spatial) and x.test.function == "intersects":
+            exact = f"({lp} AND {rp} AND {ls} = {rs} OR {exact})"
+        return " AND ".join([*parts, exact])
+
     def _distinct_on(self, q: m.Query, scope: dict[str, str], select: str, tail: str) -> tuple[str, str]:
         keys = ", ".join(self.expression(e, scope) for e in q.distinct_on)
         order = ", ".join(self.order(o, scope) for o in q.order_by)
@@ -340,6 +478,22 @@ class Lowering:
         return quoted(self._view(out))
 
 
+def within_index(table: DataFrame, field: str, shape: Column, grow: float) -> Column:
+    """The rows whose box, in the columns that an indexed write keeps beside a geometry, meets the shape's: ranges that files and row groups are pruned by.
+
+    Rows without a box, as a write of other tools leaves them, stay for the exact test.
+    """
+    names = {k: f"{field}_{k}" for k in ("xmin", "ymin", "xmax", "ymax")}
+    if any(n not in table.columns or table.schema[n].metadata.get(INDEX) != field for n in names.values()):
+        return F.lit(True)
+    box = table.sparkSession.range(1).select(spatial.call(table.sparkSession, "bbox", shape).alias("b")).first().b
+    if box is None:
+        return F.lit(True)
+    c = {k: F.col(quoted(n)) for k, n in names.items()}
+    low, high = (lambda k, to: c[k].isNull() | (c[k] >= to)), (lambda k, to: c[k].isNull() | (c[k] <= to))
+    return high("xmin", box.xmax + grow) & low("xmax", box.xmin - grow) & high("ymin", box.ymax + grow) & low("ymax", box.ymin - grow)
+
+
 def read_frame(table: DataFrame, r: m.Read, bag: Bag, profile: validate.Profile) -> DataFrame:
     """A table read as DataFrame operations, which Catalyst pushes into the scan."""
     spark = table.sparkSession
@@ -370,9 +524,12 @@ def read_frame(table: DataFrame, r: m.Read, bag: Bag, profile: validate.Profile)
         if isinstance(f, m.FieldSpatial):
             args = [c] + [needed(bag, p) for p in (f.geometry_parameter, f.distance_parameter) if p is not None]
             exact = spatial.call(spark, f.function, *args)
-            if f.geometry_parameter is None or f.function in ("disjoint", "d_within"):
+            if f.geometry_parameter is None or f.function == "disjoint":
                 return exact
-            return spatial.call(spark, "bounding_box_intersects", args[0], args[1]) & exact
+            grow = float(bag[f.distance_parameter].value) if f.function == "d_within" else 0.0
+            if f.function != "d_within":
+                exact = spatial.call(spark, "bounding_box_intersects", args[0], args[1]) & exact
+            return within_index(table, f.field, args[1], grow) & exact
         value = needed(bag, f.parameter)
         kind = f.TAG[1]
         return {"eq": c == value, "ne": c != value, "lt": c < value, "lte": c <= value, "gt": c > value, "gte": c >= value}[kind]

@@ -12,7 +12,7 @@ from geolode.engine import Engine
 from geolode.functions import spatial
 from geolode.plans import model as m
 from geolode.plans.build import (
-    all_of, any_of, asc, box, c, cluster, cmp, current, desc, e, eq, fn, following, join, null, over, p, preceding, q, setop, st, star, sub, t,
+    all_of, any_of, asc, box, c, cluster, cmp, desc, eq, fn, following, join, null, over, p, preceding, q, setop, st, star, sub, t,
 )
 from geolode.plans.parameters import Bag, Value
 
@@ -54,15 +54,23 @@ def _tables(x, out: set[str]) -> set[str]:
     return out
 
 
+def _closed(eng: Engine, run: Callable[[Engine], DataFrame]) -> DataFrame:
+    """A result is analysed when it is made; the names of its tables are not needed any more."""
+    try:
+        return run(eng)
+    finally:
+        eng.close()
+
+
 def add(name: str, query: m.Query, oracle: str | None = None, bag: Bag | None = None) -> None:
     own = sorted(_tables(query, set()) & set(TABLES))
-    QUERIES[name] = lambda spark, sf_dir: engine(spark, sf_dir, *own).query(query, bag)
+    QUERIES[name] = lambda spark, sf_dir: _closed(engine(spark, sf_dir, *own), lambda eng: eng.query(query, bag))
     if oracle:
         ORACLE[name] = oracle
 
 
 def add_read(name: str, read: m.Read, oracle: str, bag: Bag | None = None) -> None:
-    QUERIES[name] = lambda spark, sf_dir: engine(spark, sf_dir, read.source.object).read(read, bag)
+    QUERIES[name] = lambda spark, sf_dir: _closed(engine(spark, sf_dir, read.source.object), lambda eng: eng.read(read, bag))
     ORACLE[name] = oracle
 
 
@@ -172,8 +180,8 @@ _BAG = {"a": f64(9000), "b": f64(5000)}
 for _op in ("union", "intersect", "except"):
     for _every in (False, True):
         add(f"set_{_op}{'_all' * _every}", q("customer", ("c_nationkey", "k"), where=cmp("c_acctbal", "gt", p("a")), sets=[setop(_op, _B, _every)]), f"{_SA} {_op.upper()}{' ALL' * _every} ({_SB})", _BAG)
-add("set_precedence", q("region", ("r_regionkey", "k"), sets=[setop("union", q("nation", ("n_nationkey", "k"))), setop("intersect", q("supplier", ("s_nationkey", "k")))], order=[asc("k")], limit=20),
-    "SELECT r_regionkey k FROM region UNION (SELECT n_nationkey FROM nation) INTERSECT (SELECT s_nationkey FROM supplier) ORDER BY k LIMIT 20")
+add("set_precedence", q("region", ("r_regionkey", "k"), sets=[setop("union", q("nation", ("n_nationkey", "k"))), setop("intersect", q("supplier", ("s_nationkey", "k")))], order=[asc("k")]),
+    "SELECT r_regionkey k FROM region UNION (SELECT n_nationkey FROM nation) INTERSECT (SELECT s_nationkey FROM supplier) ORDER BY k")
 _BIG = m.CommonTable("big", q("orders", "o_custkey", (fn("sum", "o_totalprice"), "total"), group=["o_custkey"]))
 add("cte", q("top", "c_name", ctes=[_BIG, m.CommonTable("top", q("big", "c.c_name", joins=[join("inner", t("customer", "c"), eq("big.o_custkey", "c.c_custkey"))], where=cmp("big.total", "gt", p("x"))))]),
     "WITH big AS (SELECT o_custkey, sum(o_totalprice) total FROM orders GROUP BY 1) SELECT c_name FROM big JOIN customer ON o_custkey = c_custkey WHERE total > 400000.5", {"x": f64(400000.5)})
@@ -211,15 +219,18 @@ def rects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pt.select("p_partkey", "p_brand", spatial.rectangle(spark, x, y, x + F.col("p_size"), y + F.col("p_retailprice"), 3857).alias("geom"))
 
 
+SHAPES = {"places": places, "rects": rects}
+
+
 def add_spatial(name: str, made: m.Query, oracle: str | None = None, bag: Bag | None = None) -> None:
     own = _tables(made, set())
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         eng = Engine(spark)
-        for key, build in (("places", places), ("rects", rects)):
+        for key, build in SHAPES.items():
             if key in own:
                 eng.add(key, build(spark, sf_dir))
-        return eng.query(made, bag)
+        return _closed(eng, lambda eng: eng.query(made, bag))
 
     QUERIES[name] = run
     if oracle:
@@ -285,6 +296,26 @@ def _spatial_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spatial_join(rects(spark, sf_dir), cells, "geom", "geom", "intersects").groupBy("p_partkey").agg(F.count("*").alias("n"))
 
 
+_HITS = q(t("rects", "r"), "r.p_partkey", (fn("count", star), "n"), joins=[join("inner", t("flat", "p"), st("intersects", "r.geom", "p.geom"))], group=["r.p_partkey"])
+
+
+def _flat(spark: SparkSession, sf_dir: str, where: str = "true") -> Engine:
+    """Rectangles, and places in the same system."""
+    cells = places(spark, sf_dir).filter(where).select("event_id", spatial.call(spark, "set_srid", "geom", F.lit(3857)).alias("geom"))
+    return Engine(spark, {"rects": rects(spark, sf_dir), "flat": cells})
+
+
+@query("spatial_join_query", f"SELECT r.p_partkey, count(*) n FROM {_R} r JOIN {_P} p ON p.x BETWEEN r.x AND r.x + r.w AND p.y BETWEEN r.y AND r.y + r.h GROUP BY 1")
+def _spatial_join_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _flat(spark, sf_dir).query(_HITS)
+
+
+@query("spatial_join_where", f"SELECT r.p_partkey, p.event_id FROM {_R} r JOIN {_P} p ON (p.x - greatest(r.x, least(p.x, r.x + r.w))) ** 2 + (p.y - greatest(r.y, least(p.y, r.y + r.h))) ** 2 <= 2.25 WHERE p.event_id % 50 = 0 AND r.p_partkey > 5")
+def _spatial_join_where(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = q(t("rects", "r"), "r.p_partkey", "p.event_id", joins=[join("cross", t("flat", "p"))], where=all_of(st("d_within", "p.geom", "r.geom", p("d")), cmp("r.p_partkey", "gt", p("k"))))
+    return _flat(spark, sf_dir, "event_id % 50 = 0").query(made, {"d": f64(1.5), "k": i64(5)})
+
+
 # writes: each into a table of its own, read back
 
 def _written(mode: str, oracle: str, keys: tuple[str, ...] = (), updates: tuple[str, ...] = ()) -> None:
@@ -317,5 +348,3 @@ _written("truncate_insert", _NEW)
 _written("update", f"SELECT b.s_suppkey, coalesce(n.s_name, b.s_name) s_name, b.s_acctbal FROM ({_BASE}) b LEFT JOIN ({_NEW}) n USING (s_suppkey)", ("s_suppkey",), ("s_name",))
 _written("upsert", f"SELECT s_suppkey, coalesce(n.s_name, b.s_name) s_name, coalesce(n.s_acctbal, b.s_acctbal) s_acctbal FROM ({_BASE}) b FULL JOIN ({_NEW}) n USING (s_suppkey)", ("s_suppkey",))
 _written("delete_by_keys", f"{_BASE} WHERE s_suppkey NOT IN (SELECT s_suppkey FROM ({_NEW}))", ("s_suppkey",))
-
-_ = (current, e)

@@ -132,8 +132,10 @@ def inspect_ipc(path: str, limits: Limits | None = None, most_bytes: int = 512 <
         raise EngineError("protocol", "not an Arrow file", "read") from e
 
 
-def from_ipc(spark: SparkSession, path: str) -> DataFrame:
-    """An Arrow file as a DataFrame, its geometry contract kept."""
+def from_ipc(spark: SparkSession, path: str, most_bytes: int = 512 << 20) -> DataFrame:
+    """An Arrow file as a DataFrame, its geometry contract kept. It is read by the driver, so its size is limited."""
+    if os.path.getsize(path) > most_bytes:
+        raise EngineError("resource_limit", "the file is larger than its limit", "read")
     with pa.memory_map(path) as source, pa.ipc.open_file(source) as reader:
         table = reader.read_all()
     df = spark.createDataFrame(table)

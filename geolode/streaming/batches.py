@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -36,7 +37,7 @@ def _encode(rows: int, size: int, schema: pa.Schema, geometry: list[int], cell_b
                         try:
                             parts[g] = parts.get(g, 0) + ewkb.inspect(value, most_bytes=cell_bytes, most_depth=nesting).components
                         except EngineError as e:
-                            raise EngineError(e.category, f"{schema.names[g]}, row {index + k} of its partition: {e.message}", "read") from e
+                            raise EngineError(e.category, f"[cell {g} {index + k} {e.category}] {e.message}", "read") from e
             index += batch.num_rows
             at = 0
             while at < batch.num_rows:
@@ -67,7 +68,7 @@ class BatchStream:
 
     def __iter__(self) -> Iterator[pa.RecordBatch]:
         with self.budget.operation():
-            for row in self._rows.toLocalIterator(prefetchPartitions=False):
+            for row in self._pulled():
                 self.token.check()
                 data = bytes(row.data)
                 if len(data) > self.limits.batch_bytes + (1 << 16):
@@ -82,3 +83,15 @@ class BatchStream:
                         raise EngineError("resource_limit", "over the limit of batches", "read")
                     with pa.ipc.open_stream(data) as reader:
                         yield reader.read_next_batch()
+
+    def _pulled(self):
+        """The encoded batches. Partitions come one after another, and whole, so a bad cell's place in its partition gives its place in all rows."""
+        try:
+            yield from self._rows.toLocalIterator(prefetchPartitions=False)
+        except Exception as e:
+            found = re.search(r"\[cell (\d+) (\d+) (\w+)\]", str(e))
+            if not found:
+                raise
+            error = EngineError(found[3], f"{self.schema.names[int(found[1])]}, row {self.metrics.rows + int(found[2])}: a bad cell", "read")
+            error.source_row, error.field = self.metrics.rows + int(found[2]), self.schema.names[int(found[1])]
+            raise error from e

@@ -296,6 +296,58 @@ def test_spatial_join_is_the_nested_loop(spark):
         spatial_join(*[df.select("id", spatial.call(spark, "set_srid", "g", F.lit(srid)).alias("g")) for df, srid in ((boxes, 4326), (pts, 3857))], "g", "g").collect()
 
 
+def pairs(spark):
+    pts = spark.range(300).select("id", spatial.point(spark, (F.col("id") * 37) % 101 / 3.0 - 15, (F.col("id") * 53) % 97 / 3.0 - 15, 0).alias("g"))
+    boxes = spark.range(60).select(F.col("id").alias("id"), (F.col("id") % 3).alias("k"), spatial.rectangle(spark, F.col("id") % 8 * 4 - 16, F.col("id") % 7 * 4 - 14, F.col("id") % 8 * 4 - 16 + F.col("id") % 5, F.col("id") % 7 * 4 - 14 + F.col("id") % 11, 0).alias("g"))
+    return pts, boxes
+
+
+def test_spatial_tests_of_queries_are_joins_on_cells(spark):
+    pts, boxes = pairs(spark)
+    eng = Engine(spark, {"pts": pts, "boxes": boxes, "kinds": spark.range(3).select(F.col("id").alias("k"), F.concat(F.lit("k"), "id").alias("name"))})
+    meet, near = st("intersects", "b.g", "p.g"), st("d_within", "p.g", "b.g", p("d"))
+    bag = {"d": Value("f64", 1.5), "x": Value("i64", 40)}
+    both = boxes.alias("b").crossJoin(pts.alias("p"))
+    hit, close = spatial.call(spark, "intersects", F.col("b.g"), F.col("p.g")), spatial.call(spark, "d_within", F.col("p.g"), F.col("b.g"), F.lit(1.5))
+    for made, want in (
+        (q(t("boxes", "b"), "b.id", ("p.id", "other"), joins=[join("inner", t("pts", "p"), m.And((cmp("p.id", "lt", p("x")), meet)))]), both.filter(hit & (F.col("p.id") < 40)).select("b.id", "p.id")),
+        (q(t("boxes", "b"), "b.id", ("p.id", "other"), joins=[join("cross", t("pts", "p"))], where=m.And((near, cmp("p.id", "lt", p("x"))))), both.filter(close & (F.col("p.id") < 40)).select("b.id", "p.id")),
+        (q(t("boxes", "b"), "b.id", "p.id", "c.name", joins=[join("left", t("kinds", "c"), eq("b.k", "c.k")), join("inner", sub(q("pts", "id", "g", where=cmp("id", "lt", p("x"))), "p"), meet)]), both.filter(hit & (F.col("p.id") < 40)).select("b.id", "p.id", F.concat(F.lit("k"), "b.k"))),
+        (q(t("boxes", "b"), "b.id", ("p.id", "other"), ("o.id", "third"), joins=[join("inner", t("pts", "p"), meet), join("inner", t("boxes", "o"), st("covers", "o.g", "p.g"))]), both.filter(hit).crossJoin(boxes.alias("o")).filter(spatial.call(spark, "covers", F.col("o.g"), F.col("p.g"))).select("b.id", "p.id", "o.id")),
+        (q(t("boxes", "b"), "b.id", ("p.id", "other"), joins=[join("inner", t("pts", "p"), box("bounding_box_contains", "b.g", "p.g"))]), both.filter(spatial.call(spark, "bounding_box_contains", F.col("b.g"), F.col("p.g"))).select("b.id", "p.id")),
+    ):
+        got = eng.query(made, bag)
+        text = got._jdf.queryExecution().executedPlan().toString()
+        assert "NestedLoop" not in text and "Cartesian" not in text
+        assert sorted(rows(got)) == sorted(rows(want)) and got.count()
+    every = eng.query(q(t("boxes", "b"), m.Wildcard("b"), ("p.id", "other"), joins=[join("inner", t("pts", "p"), meet)]))
+    assert every.columns == ["id", "k", "g", "other"] and eng.query(q(t("boxes", "b"), star, joins=[join("inner", t("pts", "p"), meet)])).columns == ["id", "k", "g", "id", "g"]
+    left = eng.query(q(t("pts", "p"), "p.id", ("b.id", "box"), joins=[join("left", t("boxes", "b"), meet)]))
+    assert left.filter("box IS NULL").count() == 300 - both.filter(hit).select("p.id").distinct().count()
+    counted = eng.query(q(t("boxes", "b"), (fn("count", star), "n"), joins=[join("inner", t("pts", "p"), meet)]))
+    assert counted.first().n == both.filter(hit).count()
+
+
+def test_indexed_reads_push_ranges(spark, events):
+    name = m.ObjectRef("indexed", None, "default")
+    spark.sql("DROP TABLE IF EXISTS default.indexed")
+    eng = Engine(spark)
+    df = contract.mark(events.select("event_id", "geom"), "geom", srid=4326, types=("Point",))
+    eng.write(m.Write(name, "create", create_spatial_index=True), df.filter("event_id <= 9000"))
+    eng.write(m.Write(name, "append"), df.filter("event_id > 9000"))
+    eng.write(m.Write(name, "upsert", keys=("event_id",)), df.filter("event_id = 50").withColumn("geom", spatial.point(spark, F.lit(1.0), F.lit(2.0))).transform(lambda d: contract.mark(d, "geom", srid=4326, types=("Point",))))
+    around = Value("wkb", bytes(spark.range(1).select(spatial.rectangle(spark, F.lit(9.0105), F.lit(45.0), F.lit(9.0205), F.lit(46.0)).alias("g")).first().g), 4326)
+    got = eng.read(m.Read(name, ("event_id",), filter=m.FieldSpatial("intersects", "geom", "g")), {"g": around})
+    text = got._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    pushed = text[text.index("PushedFilters") :]
+    assert "LessThanOrEqual(geom_xmin,9.0205)" in pushed and "GreaterThanOrEqual(geom_xmax,9.0105)" in pushed
+    assert got.count() == df.filter("event_id % 100 BETWEEN 11 AND 20").count()
+    moved = eng.read(m.Read(name, ("event_id",), filter=m.FieldSpatial("d_within", "geom", "g", "d")), {"g": Value("wkb", bytes(spark.range(1).select(spatial.point(spark, F.lit(1.0), F.lit(2.5)).alias("g")).first().g), 4326), "d": Value("f64", 0.5)})
+    assert rows(moved) == [(50,)]
+    assert spark.table("default.indexed").filter("geom_xmin IS NULL").count() == 0
+    spark.sql("DROP TABLE default.indexed")
+
+
 def test_clusters():
     x, y = [0, 1, 2, 10, 11, 50, None], [0.0] * 6 + [None]
     assert dbscan_labels(x, y, 1.5, 2) == [0, 0, 0, 1, 1, None, None]
@@ -365,7 +417,7 @@ def test_budgets_and_bad_cells(spark, engine):
     with pytest.raises(EngineError):
         engine.stream(df, Budget(ResourceLimits(columns=0)))
     bad = contract.mark(spark.createDataFrame([(bytearray(b"\1\2"),)], "g binary"), "g")
-    with pytest.raises(Exception, match="row 0"):
+    with pytest.raises(EngineError, match="row 0"):
         list(engine.stream(bad))
 
 

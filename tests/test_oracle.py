@@ -5,8 +5,10 @@ import os
 import duckdb
 import pytest
 
+from geolode import service_queries, spatial_queries
 from geolode.queries import ORACLE, QUERIES, TABLES
 
+assert service_queries and spatial_queries  # they add to QUERIES
 FOLDER = "/root/testdata/sf0.001"
 
 

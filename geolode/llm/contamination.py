@@ -63,11 +63,11 @@ def myers(pattern: str, text: str) -> tuple[int, int]:
 class Finder:
     """All pieces of a block of items in one automaton."""
 
-    def __init__(self, items: list[tuple[int, str]], errors: float):
-        self.items, self.errors = items, errors
+    def __init__(self, items: list[tuple[int, str]], errors: float, least: int):
+        self.items, self.errors, self.least = items, errors, least
         self.automaton = ahocorasick.Automaton()
         for k, (_, item) in enumerate(items):
-            for at, piece in pieces(item, errors):
+            for at, piece in pieces(item, errors) if len(item) >= least else [(0, item)]:
                 known = self.automaton.get(piece, [])
                 known.append((k, at, len(piece)))
                 self.automaton.add_word(piece, known)
@@ -85,6 +85,10 @@ class Finder:
                     continue
                 tried.add((k, start))
                 item = self.items[k][1]
+                if size == len(item):
+                    if size >= self.least or not (text[max(0, start - 1) : start].isalnum() or text[end + 1 : end + 2].isalnum()):
+                        best[k] = (0, start, end + 1)
+                    continue
                 limit = budget(len(item), self.errors)
                 low = max(0, start - limit)
                 distance, to = myers(item, text[low : max(0, start + len(item) + limit)])
@@ -96,17 +100,17 @@ class Finder:
 _finders: dict[str, Finder] = {}
 
 
-def _finder(token: str, items: list[tuple[int, str]], errors: float) -> Finder:
+def _finder(token: str, items: list[tuple[int, str]], errors: float, least: int) -> Finder:
     """The automaton of a block, built once in each worker."""
     if token not in _finders:
         _finders.clear()
-        _finders[token] = Finder(items, errors)
+        _finders[token] = Finder(items, errors, least)
     return _finders[token]
 
 
-def _search(token: str, items: list[tuple[int, str]], errors: float):
+def _search(token: str, items: list[tuple[int, str]], errors: float, least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        finder = _finder(token, items, errors)
+        finder = _finder(token, items, errors, least)
         names = ["doc_id", "item_id", "n_errors", "from_char", "to_char"]
         for batch in batches:
             out: list[tuple] = []
@@ -124,27 +128,27 @@ def leaks(docs: DataFrame, benchmark: DataFrame, errors: float = ERRORS, least:
 
     Texts and items are compared in lower case with white space as single blanks. An item of n characters may differ by
     floor(n * ``errors``) insertions, deletions or substitutions; its best place in a document is reported, as a window's start and the match's end. Items under ``least``
-    characters, null items and null or empty texts match nothing; an item without an id is reported as -1. Repeated rows and items are each reported.
+    characters match without an edit, as whole words; null and empty items and null or empty texts match nothing; an item without an id is reported as -1. Repeated rows and items are each reported.
     Items reach the tasks in blocks of BLOCK_BYTES at most, one pass over the documents for each, so what is sent is bounded
     whatever the size of the benchmark. Empty tables give an empty result.
     """
     schema = "doc_id bigint, item_id bigint, n_errors bigint, from_char bigint, to_char bigint"
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     out = None
-    for token, kept in _blocks(benchmark, least, item_col, item_text_col):
-        found = rows.mapInArrow(_search(f"{token}/{errors}", kept, errors), schema)
+    for token, kept in _blocks(benchmark, item_col, item_text_col):
+        found = rows.mapInArrow(_search(f"{token}/{errors}/{least}", kept, errors, least), schema)
         out = found if out is None else out.unionByName(found)
     return out
 
 
-def _blocks(benchmark: DataFrame, least: int, item_col: str, item_text_col: str) -> Iterator[tuple[str, list[tuple[int, str]]]]:
+def _blocks(benchmark: DataFrame, item_col: str, item_text_col: str) -> Iterator[tuple[str, list[tuple[int, str]]]]:
     """The items in blocks of bounded size, each with a name that tells it from others."""
     items = benchmark.select(F.col(item_col).cast("bigint").alias("item_id"), F.col(item_text_col).alias("text")).filter("text is not null")
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first().b
     blocks = max(1, -(-2 * size // BLOCK_BYTES))
     for block in range(blocks):
         own = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).collect()
-        kept = sorted(((-1 if r.item_id is None else r.item_id), p) for r in own if len(p := plain(r.text)) >= least)
+        kept = sorted(((-1 if r.item_id is None else r.item_id), p) for r in own if (p := plain(r.text)))
         yield f"{block}/{blocks}/{hash(tuple(kept))}", kept
 
 
@@ -154,15 +158,15 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, errors: float = ERRORS,
 
     def keeping(token: str, items: list[tuple[int, str]]):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            finder = _finder(token, items, errors)
+            finder = _finder(token, items, errors, least)
             for batch in batches:
                 clean = [not (items and (value := t.as_py()) and finder.find(plain(value))) for t in batch.column(at)]
                 yield batch.filter(pa.array(clean, pa.bool_()))
 
         return run
 
-    for token, items in _blocks(benchmark, least, item_col, item_text_col):
-        docs = docs.mapInArrow(keeping(f"{token}/{errors}", items), docs.schema)
+    for token, items in _blocks(benchmark, item_col, item_text_col):
+        docs = docs.mapInArrow(keeping(f"{token}/{errors}/{least}", items), docs.schema)
     return docs
 
 

@@ -14,6 +14,7 @@ from geolode.llm.common import documents, text_bytes
 from geolode.shared import stored
 
 GROUPS_A_BUCKET = 100_000
+PARTS_A_STEP = 10_000
 ROWS_A_CELL = 100_000
 
 
@@ -67,12 +68,42 @@ def _in_bucket(shards: int):
     return run
 
 
+def _step(shards: int):
+    """Rows (bucket, label, w, up): the sums of some parts, differenced; each gets the place ``to`` in the part that they become."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["bucket", "label"]).reset_index(drop=True)
+        names, at = np.unique(pdf["bucket"].to_numpy(), return_inverse=True)
+        sums = np.zeros((len(names), shards), np.int64)
+        sums[at, pdf["label"]] = pdf["w"]
+        pdf["to"] = differencing([tuple(map(int, s)) for s in sums])[at, pdf["label"]].astype("int32")
+        return pdf
+
+    return run
+
+
+def _final(labels: DataFrame, buckets: int, shards: int) -> DataFrame:
+    """(bucket, label, shard): the buckets' parts differenced in steps of PARTS_A_STEP at most, until one part is left; none reaches the driver."""
+    level, steps = labels.groupBy("bucket", "label").agg(F.sum("weight").alias("w")), []
+    while True:
+        groups = max(1, -(-buckets // PARTS_A_STEP))
+        dealt = level.withColumn("up", F.pmod("bucket", F.lit(groups)))
+        steps.append(stored(dealt.groupBy("up").applyInPandas(lambda pdf: _step(shards)(pdf), "bucket bigint, label int, w bigint, up bigint, to int")))
+        if groups == 1:
+            break
+        level, buckets = steps[-1].groupBy(F.col("up").alias("bucket"), F.col("to").alias("label")).agg(F.sum("w").alias("w")), groups
+    final = steps[-1].select("bucket", "label", F.col("to").alias("shard"))
+    for below in reversed(steps[:-1]):
+        final = below.join(final.select(F.col("bucket").alias("up"), F.col("label").alias("to"), "shard"), ["up", "to"]).select("bucket", "label", "shard")
+    return final
+
+
 def shard_by_bytes(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` to (doc_id, size, text_crc32, shard, slot); rows with equal texts are a group and stay together.
 
     Size is the text's UTF-8 bytes (null: none) plus 1. Groups are weighed after combining within each task, dealt to
     buckets by hash, and differenced within each bucket; each bucket then counts as one part of ``shards`` sums, and the
-    parts are differenced in turn: one part for each 100,000 groups reaches the driver. Slots number each
+    parts are differenced in turn, 10,000 in a task, as often as it takes to leave one. Slots number each
     shard's rows from 0 without gaps, in cells of a hash of the id, so no task sorts a whole shard. Null and empty texts form one group;
     repeated rows and null ids each get a slot of their own. An empty table gives an empty result. Other columns are ignored.
     """
@@ -91,15 +122,7 @@ def shard_by_bytes(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", tex
     schema = "th bigint, crc bigint, size bigint, weight bigint, bucket bigint, label int"
     dealt = groups.select(*key, "weight", F.pmod(F.xxhash64("th", "crc"), F.lit(buckets)).alias("bucket"))
     labels = stored(dealt.groupBy("bucket").applyInPandas(lambda pdf: _in_bucket(shards)(pdf), schema=schema))
-    sums: dict[int, list[int]] = {}
-    for r in labels.groupBy("bucket", "label").agg(F.sum("weight").alias("w")).collect():
-        sums.setdefault(r.bucket, [0] * shards)[r.label] = r.w
-    names = sorted(sums)
-    to = differencing([tuple(sums[b]) for b in names]) if names else np.empty((0, shards), np.int64)
-    final = spark.createDataFrame(
-        [(int(b), s, int(to[i, s])) for i, b in enumerate(names) for s in range(shards)] or [(0, s, s) for s in range(shards)],
-        "bucket bigint, label int, shard int",
-    )
+    final = _final(labels, buckets, shards)
     of_group = labels.join(final, ["bucket", "label"]).select(*key, "shard")
     placed = stored(rows.join(of_group, key).withColumn("cell", F.pmod(F.xxhash64("doc_id", "th"), F.lit(cells))))
     before = Window.partitionBy("shard").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)

@@ -14,6 +14,8 @@ from geolode.shared import stored
 BLOCKS = (11, 11, 11, 11, 10, 10)
 #: A neighbourhood's sets are compared part by part: of so many sets, in so many parts at most while a part's texts have no more than so many bytes.
 PART_SETS, PARTS, PART_BYTES = 256, 16, 16 << 20
+#: Shingle sets of fewer have wide fingerprints by finer weights.
+SMALL = 64
 
 
 def fingerprint(spark, text: Column, width: int = 4, seed: int = 42) -> Column:
@@ -85,7 +87,8 @@ def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, see
     """``docs`` to (doc_id, code, component_id): groups of texts whose shingle sets are that similar, or linked through others that are.
 
     Four bits of 64 are far less than a similarity of 0.8 moves (ten, give or take three), and ten of 64 also join strangers.
-    So this form takes fingerprints of ``words`` times 64 bits over distinct shingles of ``width`` words, and draws into one
+    So this form takes fingerprints of ``words`` times 64 bits over distinct shingles of ``width`` words (of finer weights for sets under SMALL, and of both kinds for those
+    little larger), and draws into one
     neighbourhood those that differ in no more bits than the similarity lets expect, plus two deviations: 178 of 1,024 at 0.8. Codes meet
     in as many groups, by as many of their bits, as ``banding`` says for their number, and in each group an index in Gray order is searched.
     Within a neighbourhood the shingle sets themselves are compared, each with each, and linked at a Jaccard
@@ -99,16 +102,20 @@ def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, see
 def similar_rows(rows: DataFrame, width: int = 5, similarity: float = 0.8, seed: int = 42, words: int = 16) -> DataFrame:
     """``similar_groups`` of stored rows (row, doc_id, text) to (row, doc_id, code, component_id); ``row`` is unique, and the same whenever it is read."""
     spark = rows.sparkSession
-    code, shingles = f"geolode_wide_{width}_{seed}_{words}", f"geolode_shingles_{width}_{seed}"
-    kernel_udf(spark, code, "WideSimHash", "binary", width=width, seed=seed, words=words)
+    code, shingles = f"geolode_wide_{width}_{seed}_{words}_{similarity}".replace(".", "_"), f"geolode_shingles_{width}_{seed}"
+    kernel_udf(spark, code, "WideSimHash", "binary", width=width, seed=seed, words=words, small=SMALL, most=math.ceil(SMALL / similarity))
     kernel_udf(spark, shingles, "ShingleSet", "binary", width=width, seed=seed)
     text, short = text_bytes("text"), lambda c: F.unhex(F.md5(c))
-    marked = stored(rows.select("row", "doc_id", F.call_udf(code, text).alias("wide"), short(F.call_udf(shingles, text)).alias("code"), F.length(text).cast("bigint").alias("size")))
-    wide = marked.select("wide").distinct()
+    whole = 8 * words
+    marked = stored(rows.select("row", "doc_id", F.call_udf(code, text).alias("codes"), short(F.call_udf(shingles, text)).alias("code"), F.length(text).cast("bigint").alias("size")))
+    marked = marked.withColumns({"wide": F.substring("codes", 1, whole), "fine": F.when(F.length("codes") > whole, F.substring("codes", whole + 1, whole))}).drop("codes")
+    two = marked.filter("fine IS NOT NULL").select("wide", "fine").distinct()
+    wide = marked.select("wide").unionByName(two.select(F.col("fine").alias("wide"))).distinct()
     bits, tables = banding(marked.agg(F.approx_count_distinct("wide")).first()[0], similarity)
     dealt = kernel_map(wide, "WideKeys", "key bigint, code binary", tables=tables, bits=bits)
     dealt = dealt.repartition("key").sortWithinPartitions("key")
     near = kernel_map(dealt, "WideLinks", "a binary, b binary", limit=differing_bits(similarity, 64 * words))
+    near = near.unionByName(two.toDF("a", "b"))
     near = connected_components(near.select(short(F.col("a")).alias("a"), short(F.col("b")).alias("b")))
 
     sets = marked.groupBy("code").agg(F.min("doc_id").alias("least"), F.min("row").alias("row"), F.min("size").alias("size"), F.min(short(F.col("wide"))).alias("wide"))

@@ -47,6 +47,24 @@ def test_op3(spark, corpus, as_tables):
     assert all(len(h) == 1 for h in homes.values())
 
 
+def test_op3_in_steps(spark, corpus, as_tables, monkeypatch):
+    """Many buckets, differenced in several steps: groups stay whole, slots have no gaps, and sums are as near as with one bucket."""
+    folder = as_tables([(i, t and t[: 40 + 7 * k % 300], *rest) for k, (i, t, *rest) in enumerate(corpus) if i != 306])
+    spread = []
+    for groups, parts in ((100_000, 10_000), (4, 3)):
+        monkeypatch.setattr(sharding, "GROUPS_A_BUCKET", groups)
+        monkeypatch.setattr(sharding, "PARTS_A_STEP", parts)
+        rows = sharding.op3_differencing_shards(spark, folder).collect()
+        sums, slots, homes = Counter(), {}, {}
+        for r in rows:
+            sums[r.shard] += r.size
+            slots.setdefault(r.shard, []).append(r.slot)
+            homes.setdefault((r.text_crc32, r.size), set()).add(r.shard)
+        assert len(rows) == len(corpus) - 1 and all(len(h) == 1 for h in homes.values()) and all(sorted(s) == list(range(len(s))) for s in slots.values())
+        spread.append(max(sums.values()) - min(sums.values()))
+    assert len(sums) == 8 and spread[0] <= 50 and spread[1] <= 400
+
+
 def test_differencing_is_tight():
     import random
 
@@ -211,10 +229,57 @@ def test_op9(spark, unique, as_tables):
     off = item.replace("whand", "whend").replace("lying", "lyng")
     far = " ".join(w[::-1] for w in item.split())
     own = [(900, f"before {item} after", "en", None, None), (901, f"Before\n{off.upper()}  after", "en", None, None), (902, f"x {far} y", "en", None, None)]
-    got = contamination.op9_pigeonhole_leaks(spark, as_tables(unique + own, [(1, item), (2, None), (3, "short"), (4, item)])).collect()
+    got = contamination.op9_pigeonhole_leaks(spark, as_tables(unique + own, [(1, item), (2, None), (3, "shorter"), (4, item)])).collect()
     assert sorted((r.doc_id, r.item_id, r.n_errors) for r in got) == [(900, 1, 0), (900, 4, 0), (901, 1, 2), (901, 4, 2)]
 
 
+def test_op9_against_all_places(spark, frame, unique):
+    """Every item against every text, by a plain table of edit distances; short items as whole words."""
+    import random
+
+    r = random.Random(9)
+    word = lambda: "".join(r.choice("abcde") for _ in range(r.randint(1, 5)))
+    items = [(k, " ".join(word() for _ in range(r.randint(8, 30)))) for k in range(12)] + [(20, "ab cd"), (21, "Solo"), (22, " "), (23, None)]
+    docs = []
+    for i in range(60):
+        text = [word() for _ in range(r.randint(0, 60))]
+        if i % 2:
+            item = list(r.choice(items[:12])[1])
+            for _ in range(r.randint(0, 4)):
+                at = r.randrange(len(item))
+                item[at : at + 1] = r.choice(["", "z", item[at] + "y"])
+            text.insert(r.randint(0, len(text)), "".join(item))
+        if i % 7 == 0:
+            text.append(r.choice(["ab  cd", "xab cdx", "solo", "soloist", "(SOLO)"]))
+        docs.append((i, " ".join(text), "en", "x", None))
+
+    def plain(p, t):
+        row, best = list(range(len(p) + 1)), len(p)
+        for b in t:
+            new = [0]
+            for i, a in enumerate(p, 1):
+                new.append(min(row[i] + 1, new[-1] + 1, row[i - 1] + (a != b)))
+            row = new
+            best = min(best, row[-1])
+        return best
+
+    want = set()
+    for i, text, *_ in docs:
+        text = " ".join(text.lower().split())
+        for k, item in items:
+            item = " ".join((item or "").lower().split())
+            if len(item) >= 20:
+                if (d := plain(item, text)) <= int(len(item) * 0.05):
+                    want.add((i, k, d))
+            elif item and re.search(rf"(?<![^\W_]){re.escape(item)}(?![^\W_])", text):
+                want.add((i, k, 0))
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    got = contamination.leaks(frame(docs), bench).collect()
+    assert sorted((r.doc_id, r.item_id, r.n_errors) for r in got) == sorted(want) and {k for _, k, _ in want} >= {20, 21} and any(d for *_, d in want)
+    kept = contamination.without_leaks(frame(docs), bench).collect()
+    assert {r.doc_id for r in kept} == {x[0] for x in docs} - {i for i, *_ in want}
+
+
 def test_myers_is_edit_distance():
     import random
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from geolode.llm import contamination, language, lattice, licenses, matroska, nbest, registry, sharding, simhash, substrings, suffixes
 
-CLASH = "cut _row found key id th start len kind word refs rid pos code label shard cell data n".split()
+CLASH = "_id _rid _k code vertex root row component_id n_removed cut _row found key id th start len kind word refs rid pos code label shard cell data n".split()
 
 
 def operators(bench):
@@ -45,6 +45,23 @@ def test_clashing_columns_and_nulls(spark, frame, corpus, name):
     assert got == (0 if name == "leaks" else 20)
 
 
+@pytest.mark.parametrize("k", range(4))
+def test_stages_pass_columns_of_any_name(spark, frame, corpus, as_tables, k):
+    """Values of clashing columns stay with their rows, and the result does not change."""
+    folder = as_tables([], [(1, "nothing of the kind stands in any of these texts"), (None, None), (2, "")])
+    stage = corpus_pipeline.STAGES[k][1]
+    docs = frame(corpus[-24:]).withColumn("extra", F.xxhash64("doc_id", "text"))
+    odd = docs
+    for c in CLASH:
+        odd = odd.withColumn(c, F.concat(F.lit(c), F.col("extra").cast("string")))
+    plain, out = stage(spark, docs, folder), stage(spark, odd, folder)
+    assert out.columns == odd.columns
+    got = out.collect()
+    assert sorted(map(repr, plain.collect())) == sorted(map(repr, out.select(*docs.columns).collect())) and got
+    assert all(r[c] == f"{c}{r.extra}" for r in got for c in CLASH)
+    assert stage(spark, odd.limit(0), folder).count() == 0
+
+
 def test_registered_names():
     names = registry.queries()
     assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))

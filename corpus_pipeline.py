@@ -14,7 +14,12 @@ from geolode.shared import stored
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language; those without a letter (``und``) go. A missing label gets the prediction, or stays missing where no row has a label to learn from."""
+    """Documents in a language; those without a letter (``und``: null, empty and letterless texts too) go. A missing label gets the prediction, or
+    stays missing where no row has a label to learn from; other values stay as they are.
+
+    Texts of any length are read whole. Rows with null or equal ids and repeated rows are judged each by its own text, alike for equal texts. An empty table gives an empty
+    result, and columns of any name pass through.
+    """
     if not docs.filter("lang is not null and text is not null").limit(1).count():
         return docs.filter(F.col("text").rlike(r"\p{L}"))
     found = language.identify(docs, F.lit(True)).filter(F.col("lang_pred") != language.UNKNOWN)
@@ -24,7 +29,9 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of shingle sets (five words) that are 0.8 alike; null ids come last, then a hash of the text decides.
 
-    Rows are told apart by a number of their own, so those of equal or null ids stay wherever their texts are in different groups.
+    Rows are told apart by a number of their own, so those of equal or null ids stay wherever their texts are in different groups; of repeated rows
+    one stays. Null, empty and wordless texts have one shingle set, so one such row stays; texts under five words are compared as a whole, very long ones by all their
+    shingles. Ties go to the row that is met first. An empty table gives an empty result, and columns of any name pass through.
     """
     rows = stored(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")))
     order = F.struct(F.col("_row.doc_id").isNull().alias("unnamed"), F.col("_row.doc_id").alias("id"), F.xxhash64("_row.text").alias("hash"), F.col("row").alias("row"))
@@ -34,7 +41,11 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts less the words of passages (20 words) that start earlier; documents of which nothing is left go."""
+    """Texts less the words of passages (20 words) that start earlier; documents of which nothing is left go, by that rule or because they were null, empty or wordless.
+
+    What is left keeps its white space, and ``n_chars`` follows; other texts stay as they are. Earlier is a smaller id, null ids first, then a hash of the text; repeated rows (id and text) are one
+    document, so neither loses words to the other. Texts of any length are searched whole. An empty table gives an empty result, and columns of any name pass through.
+    """
     out = substrings.earlier_passages(docs).filter(F.col("cut.n_removed") < F.greatest(F.col("cut.n"), F.lit(1)))
     changed = F.col("cut.n_removed") > 0
     text = F.when(changed, F.col("cut.rest").cast("string")).otherwise(F.col("_row.text"))
@@ -44,12 +55,21 @@ def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no test item stands, up to its error budget."""
+    """Documents in which no test item stands, up to its error budget (items under 20 characters: as whole words, without an edit).
+
+    Null and empty texts hold no item and stay; null and empty items are in no text. Rows with null or equal ids and repeated rows are judged each by its own text, whole, however
+    long it is. An empty table of documents or of items gives the documents as they are, and columns of any name pass through.
+    """
     return contamination.without_leaks(docs, spark.read.parquet(f"{sf_dir.rstrip('/')}/benchmark.parquet"))
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source, n_tokens, token_ids (big-endian 4-byte piece numbers of the best segmentation), score, margin over the next."""
+    """doc_id, lang, source, n_tokens, token_ids (big-endian 4-byte piece numbers of the best segmentation), score, margin over the next.
+
+    Null counts as empty, and an empty text has no pieces, a score of 0 and no margin (null), as has any text with one segmentation only. Among equal scores a fixed order decides.
+    Every row gets its own result, whatever its id; equal texts get equal ones. Texts of any length are encoded whole. An empty table gives an empty
+    result; columns beside those of ``documents`` are left out.
+    """
     out = nbest.encoded(docs)
     unit = F.lit(float(nbest.UNIT))
     return out.select(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,17 +12,33 @@ from geolode.functions.catalog import BINARY_PREDICATES
 from geolode.plans.lower import quoted
 
 CELLS_A_SIDE = 4096
+#: Cells for each shuffle partition, over the region that both sides share, as long as a mean shape touches no more than COPIES of them in a row.
+CELLS_A_PARTITION, COPIES = 8, 16
 
 
 def cell_sizes(left: DataFrame, right: DataFrame, a: str, b: str) -> tuple[float, float]:
-    """For each axis the larger mean extent of the two sides' boxes, and no finer than a 4,096th of all: one aggregation of each side."""
-    spark, most, span = left.sparkSession, [0.0, 0.0], [0.0, 0.0]
+    """For each axis the larger mean extent of the two sides' boxes, and no finer than a 4,096th of all: one aggregation of each side.
+
+    Where that leaves few cells to share the work among, as with shapes that are large against the region where the sides overlap, the axis with more cells is cut finer.
+    """
+    spark, most, span, low, high = left.sparkSession, [0.0, 0.0], [0.0, 0.0], [-math.inf] * 2, [math.inf] * 2
     for df, c in ((left, a), (right, b)):
         box = df.select(spatial.call(spark, "bbox", F.col(quoted(c))).alias("b")).filter("b IS NOT NULL").select("b.*")
-        got = box.agg(*[f for k in "xy" for f in (F.avg(F.col(f"{k}max") - F.col(f"{k}min")), F.max(f"{k}max") - F.min(f"{k}min"))]).first()
+        got = box.agg(*[f for k in "xy" for f in (F.avg(F.col(f"{k}max") - F.col(f"{k}min")), F.min(f"{k}min"), F.max(f"{k}max"))]).first()
         for i in (0, 1):
-            most[i], span[i] = max(most[i], got[2 * i] or 0.0), max(span[i], got[2 * i + 1] or 0.0)
-    return tuple(max(m, s / CELLS_A_SIDE) or 1.0 for m, s in zip(most, span, strict=True))
+            mean, least, top = got[3 * i : 3 * i + 3]
+            if mean is None:
+                return 1.0, 1.0
+            most[i], span[i], low[i], high[i] = max(most[i], mean), max(span[i], top - least), max(low[i], least), min(high[i], top)
+    sizes = [max(m, s / CELLS_A_SIDE) or 1.0 for m, s in zip(most, span, strict=True)]
+    shared = [max(h - x, 0.0) for h, x in zip(high, low, strict=True)]
+    wanted = CELLS_A_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    while math.prod(s / z + 1 for s, z in zip(shared, sizes, strict=True)) < wanted:
+        i = max((0, 1), key=lambda k: shared[k] / sizes[k])
+        if not shared[i] or most[i] > COPIES / 2 * sizes[i] or sizes[i] <= span[i] / CELLS_A_SIDE:
+            break
+        sizes[i] /= 2
+    return sizes[0], sizes[1]
 
 
 def spatial_join(left: DataFrame, right: DataFrame, a: str, b: str, predicate: str = "intersects", distance: float | None = None, sizes: tuple[float, float] | None = None) -> DataFrame:

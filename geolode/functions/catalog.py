@@ -16,25 +16,82 @@ class SpatialFunction:
         return self.returns == "boolean" or (self.id == "relate" and count == 3)
 
 
-_TABLE = """
-accessor geometry_type:1:text srid:1:integer dimensions:1:integer x:1:number y:1:number z:1:number m:1:number n_points:1:integer n_rings:1:integer start_point:1:geometry end_point:1:geometry point_n:2:geometry is_empty:1:boolean
-validation is_valid:1,2:boolean is_simple:1:boolean is_closed:1:boolean
-predicate intersects:2:boolean contains:2:boolean contains_properly:2:boolean within:2:boolean covers:2:boolean covered_by:2:boolean touches:2:boolean crosses:2:boolean overlaps:2:boolean disjoint:2:boolean equals:2:boolean relate:2,3:text d_within:3,4:boolean
-processing set_srid:2:geometry transform:2,3:geometry force_2d:1:geometry force_3d:1,2:geometry force_3dm:1,2:geometry force_4d:1,2,3:geometry buffer:2,3:geometry offset_curve:2,3:geometry intersection:2,3:geometry difference:2,3:geometry sym_difference:2,3:geometry union:1,2,3:geometry unary_union:1,2:geometry simplify:2,3:geometry simplify_preserve_topology:2:geometry
-validation make_valid:1,2:geometry
-processing centroid:1:geometry point_on_surface:1:geometry envelope:1:geometry convex_hull:1:geometry oriented_envelope:1:geometry boundary:1:geometry line_merge:1:geometry reverse:1:geometry subdivide:1,2,3:geometry snap_to_grid:2,3,5:geometry
-measurement distance:2,3:number distance_3d:2:number max_distance:2:number hausdorff_distance:2,3:number frechet_distance:2,3:number azimuth:2:number area:1,2:number length:1,2:number perimeter:1,2:number
-aggregate collect:1,2:geometry extent:1:box
-output as_geo_json:1,2,3:text as_mvt_geom:2,3,4,5:geometry as_mvt:1,2,3,4,5:binary as_geobuf:1,2:binary
-clustering cluster_dbscan:3:integer cluster_k_means:2,3:integer
-"""
-
-FUNCTIONS: dict[str, SpatialFunction] = {}
-for _line in _TABLE.split("\n"):
-    _category, *_items = _line.split() or [""]
-    for _item in _items:
-        _id, _arity, _returns = _item.split(":")
-        FUNCTIONS[_id] = SpatialFunction(_id, _category, tuple(map(int, _arity.split(","))), _returns)
+#: Each function with its category, the numbers of arguments that it takes, and what it returns.
+_ALL = (
+    SpatialFunction("geometry_type", "accessor", (1,), "text"),
+    SpatialFunction("srid", "accessor", (1,), "integer"),
+    SpatialFunction("dimensions", "accessor", (1,), "integer"),
+    SpatialFunction("x", "accessor", (1,), "number"),
+    SpatialFunction("y", "accessor", (1,), "number"),
+    SpatialFunction("z", "accessor", (1,), "number"),
+    SpatialFunction("m", "accessor", (1,), "number"),
+    SpatialFunction("n_points", "accessor", (1,), "integer"),
+    SpatialFunction("n_rings", "accessor", (1,), "integer"),
+    SpatialFunction("start_point", "accessor", (1,), "geometry"),
+    SpatialFunction("end_point", "accessor", (1,), "geometry"),
+    SpatialFunction("point_n", "accessor", (2,), "geometry"),
+    SpatialFunction("is_empty", "accessor", (1,), "boolean"),
+    SpatialFunction("is_valid", "validation", (1, 2), "boolean"),
+    SpatialFunction("is_simple", "validation", (1,), "boolean"),
+    SpatialFunction("is_closed", "validation", (1,), "boolean"),
+    SpatialFunction("make_valid", "validation", (1, 2), "geometry"),
+    SpatialFunction("intersects", "predicate", (2,), "boolean"),
+    SpatialFunction("contains", "predicate", (2,), "boolean"),
+    SpatialFunction("contains_properly", "predicate", (2,), "boolean"),
+    SpatialFunction("within", "predicate", (2,), "boolean"),
+    SpatialFunction("covers", "predicate", (2,), "boolean"),
+    SpatialFunction("covered_by", "predicate", (2,), "boolean"),
+    SpatialFunction("touches", "predicate", (2,), "boolean"),
+    SpatialFunction("crosses", "predicate", (2,), "boolean"),
+    SpatialFunction("overlaps", "predicate", (2,), "boolean"),
+    SpatialFunction("disjoint", "predicate", (2,), "boolean"),
+    SpatialFunction("equals", "predicate", (2,), "boolean"),
+    SpatialFunction("relate", "predicate", (2, 3), "text"),
+    SpatialFunction("d_within", "predicate", (3, 4), "boolean"),
+    SpatialFunction("set_srid", "processing", (2,), "geometry"),
+    SpatialFunction("transform", "processing", (2, 3), "geometry"),
+    SpatialFunction("force_2d", "processing", (1,), "geometry"),
+    SpatialFunction("force_3d", "processing", (1, 2), "geometry"),
+    SpatialFunction("force_3dm", "processing", (1, 2), "geometry"),
+    SpatialFunction("force_4d", "processing", (1, 2, 3), "geometry"),
+    SpatialFunction("buffer", "processing", (2, 3), "geometry"),
+    SpatialFunction("offset_curve", "processing", (2, 3), "geometry"),
+    SpatialFunction("intersection", "processing", (2, 3), "geometry"),
+    SpatialFunction("difference", "processing", (2, 3), "geometry"),
+    SpatialFunction("sym_difference", "processing", (2, 3), "geometry"),
+    SpatialFunction("union", "processing", (1, 2, 3), "geometry"),
+    SpatialFunction("unary_union", "processing", (1, 2), "geometry"),
+    SpatialFunction("simplify", "processing", (2, 3), "geometry"),
+    SpatialFunction("simplify_preserve_topology", "processing", (2,), "geometry"),
+    SpatialFunction("centroid", "processing", (1,), "geometry"),
+    SpatialFunction("point_on_surface", "processing", (1,), "geometry"),
+    SpatialFunction("envelope", "processing", (1,), "geometry"),
+    SpatialFunction("convex_hull", "processing", (1,), "geometry"),
+    SpatialFunction("oriented_envelope", "processing", (1,), "geometry"),
+    SpatialFunction("boundary", "processing", (1,), "geometry"),
+    SpatialFunction("line_merge", "processing", (1,), "geometry"),
+    SpatialFunction("reverse", "processing", (1,), "geometry"),
+    SpatialFunction("subdivide", "processing", (1, 2, 3), "geometry"),
+    SpatialFunction("snap_to_grid", "processing", (2, 3, 5), "geometry"),
+    SpatialFunction("distance", "measurement", (2, 3), "number"),
+    SpatialFunction("distance_3d", "measurement", (2,), "number"),
+    SpatialFunction("max_distance", "measurement", (2,), "number"),
+    SpatialFunction("hausdorff_distance", "measurement", (2, 3), "number"),
+    SpatialFunction("frechet_distance", "measurement", (2, 3), "number"),
+    SpatialFunction("azimuth", "measurement", (2,), "number"),
+    SpatialFunction("area", "measurement", (1, 2), "number"),
+    SpatialFunction("length", "measurement", (1, 2), "number"),
+    SpatialFunction("perimeter", "measurement", (1, 2), "number"),
+    SpatialFunction("collect", "aggregate", (1, 2), "geometry"),
+    SpatialFunction("extent", "aggregate", (1,), "box"),
+    SpatialFunction("as_geo_json", "output", (1, 2, 3), "text"),
+    SpatialFunction("as_mvt_geom", "output", (2, 3, 4, 5), "geometry"),
+    SpatialFunction("as_mvt", "output", (1, 2, 3, 4, 5), "binary"),
+    SpatialFunction("as_geobuf", "output", (1, 2), "binary"),
+    SpatialFunction("cluster_dbscan", "clustering", (3,), "integer"),
+    SpatialFunction("cluster_k_means", "clustering", (2, 3), "integer"),
+)
+FUNCTIONS = {f.id: f for f in _ALL}
 
 UNARY_PREDICATES = {"is_empty", "is_valid", "is_simple", "is_closed"}
 BINARY_PREDICATES = {"intersects", "contains", "contains_properly", "within", "covers", "covered_by", "touches", "crosses", "overlaps", "disjoint", "equals"}

@@ -46,10 +46,10 @@ def register(spark: SparkSession) -> None:
     _ready.add(key)
 
 
-def encoder(spark: SparkSession, function: str, layer: str | None = None, extent: int | None = None, geometry: str | None = None) -> str:
+def encoder(spark: SparkSession, function: str, layer: str | None = None, extent: int | None = None, geometry: str | None = None, id: str | None = None) -> str:
     """The name of a SQL function from a list of rows to a vector tile or a Geobuf collection."""
     register(spark)
-    conf = {k: v for k, v in (("layer", layer), ("extent", extent), ("geometry", geometry)) if v is not None}
+    conf = {k: v for k, v in (("layer", layer), ("extent", extent), ("geometry", geometry), ("id", id)) if v is not None}
     name = f"geolode_{function}_{abs(hash(tuple(sorted(conf.items()))))}"
     jvm.register(spark, name, f"{PACKAGE}.GeoEncode", "binary", name=function, **conf)
     return name

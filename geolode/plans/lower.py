@@ -344,14 +344,12 @@ class Lowering:
         if not aggregate(e.function, n):
             return f"{spatial.sql_name(e.function, n)}({', '.join(self.expression(a, scope) for a in e.arguments)})"
         if e.function in ("as_mvt", "as_geobuf"):
-            keys = ("layer", "extent", "geometry") if e.function == "as_mvt" else ("geometry",)
+            keys = ("layer", "extent", "geometry", "id") if e.function == "as_mvt" else ("geometry",)
             given = {}
             for key, a in zip(keys, e.arguments[1:], strict=False):
                 if not isinstance(a, m.Parameter) or a.name not in self.bag:
                     raise invalid(f"{e.function} takes parameters after its rows")
                 given[key] = self.bag[a.name].value
-            if n > 1 + len(keys):
-                raise unsupported(f"{e.function} with a feature id")
             name = spatial.encoder(self.spark, e.function, **given)
             first = e.arguments[0]
             return f"{name}(collect_list(struct({self.expression(first, scope)})))"

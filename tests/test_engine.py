@@ -276,6 +276,10 @@ def test_tiles_and_geobuf(spark):
     assert (1, b"places") in layer and (5, 100) in layer and (15, 2) in layer
     drawn = sorted(bytes(dict(fields(f))[4]) for k, f in layer if k == 2)
     assert drawn == sorted([bytes([9, 50, 34]), bytes([9, 4, 4, 18, 0, 16, 16, 0]), bytes([9, 6, 12, 18, 10, 12, 24, 44, 15])])
+    bag |= {"geometry": Value("string", "geom"), "id": Value("string", "id")}
+    named = bytes(eng.query(q("shapes", (st("as_mvt", m.Wildcard(), p("layer"), p("extent"), p("geometry"), p("id")), "tile")), bag).first().tile)
+    layer = fields(fields(named)[0][1])
+    assert sorted(dict(fields(f))[1] for k, f in layer if k == 2) == [1, 2, 3] and [v for k, v in layer if k == 3] == [b"name"]
     data = fields(bytes(eng.query(q("shapes", (st("as_geobuf", m.Wildcard()), "data"))).first().data))
     assert [v for k, v in data if k == 1] == [b"id", b"name"] and len(fields(dict(data)[4])) == 3
 

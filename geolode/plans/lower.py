@@ -519,6 +519,10 @@ def read_frame(table: DataFrame, r: m.Read, bag: Bag, profile: validate.Profile)
         if isinstance(f, m.FieldLike):
             pattern = needed(bag, f.parameter)
             return F.call_function("ilike" if f.case_insensitive else "like", c, pattern)
+        if isinstance(f, m.FieldIntersects):
+            shape = needed(bag, f.wkb_parameter)
+            own = spatial.call(spark, "set_srid", shape, spatial.call(spark, "srid", c))
+            return within_index(table, f.field, shape, 0.0) & spatial.call(spark, "bounding_box_intersects", c, own) & spatial.call(spark, "intersects", c, own)
         if isinstance(f, m.FieldSpatial):
             args = [c] + [needed(bag, p) for p in (f.geometry_parameter, f.distance_parameter) if p is not None]
             exact = spatial.call(spark, f.function, *args)

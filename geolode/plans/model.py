@@ -342,6 +342,14 @@ class FieldSpatial(Filter):
     distance_parameter: str | None = None
 
 
+@dataclass(frozen=True)
+class FieldIntersects(Filter):
+    """The older form of an intersection: a shape without an SRID of its own, taken to be in the column's. For programs; plan documents have no name for it."""
+
+    field: str
+    wkb_parameter: str
+
+
 @dataclass(frozen=True)
 class FieldOrder:
     field: str

@@ -288,6 +288,12 @@ def _spatial_filter_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     return eng.read(m.Read(m.ObjectRef("places"), ("event_id",), filter=m.FieldSpatial("intersects", "geom", "g")), {"g": box_cell(-40, 3, 15, 25)})
 
 
+@query("spatial_filter_intersects", f"SELECT event_id FROM {_P} WHERE x BETWEEN -40 AND 15 AND y BETWEEN 3 AND 25")
+def _spatial_filter_intersects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    eng = Engine(spark, {"places": places(spark, sf_dir)})
+    return eng.read(m.Read(m.ObjectRef("places"), ("event_id",), filter=m.FieldIntersects("geom", "g")), {"g": Value("wkb", box_cell(-40, 3, 15, 25).value)})
+
+
 @query("spatial_join_points_rects", f"SELECT r.p_partkey, count(*) n FROM {_R} r JOIN {_P} p ON p.x BETWEEN r.x AND r.x + r.w AND p.y BETWEEN r.y AND r.y + r.h GROUP BY 1")
 def _spatial_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from geolode.operators.spatial_join import spatial_join

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geolode.llm import contamination, language, nbest, simhash, substrings
-from geolode.shared import stored
+from geolode.shared import kept, scratch, stored
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,14 +30,25 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """The document with the smallest id of each group of shingle sets (five words) that are 0.8 alike; null ids come last, then a hash of the text decides.
 
     Rows are told apart by a number of their own, so those of equal or null ids stay wherever their texts are in different groups; of repeated rows
-    one stays. Null, empty and wordless texts have one shingle set, so one such row stays; texts under five words are compared as a whole, very long ones by all their
+    one stays. What is kept on disk for the result is ids and text hashes only, and the rows are read again. Null, empty and wordless texts have one shingle set, so one such row stays; texts under five words are compared as a whole, very long ones by all their
     shingles. Ties go to the row that is met first. An empty table gives an empty result, and columns of any name pass through.
     """
-    rows = stored(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")))
-    order = F.struct(F.col("_row.doc_id").isNull().alias("unnamed"), F.col("_row.doc_id").alias("id"), F.xxhash64("_row.text").alias("hash"), F.col("row").alias("row"))
-    groups = simhash.similar_rows(rows.select("row", order.alias("doc_id"), F.col("_row.text").alias("text")))
-    kept = groups.filter("row = component_id.row").select("row")
-    return rows.join(kept, "row", "left_semi").select("_row.*")
+    whole = docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    # a struct, as nulls in it equal each other
+    named = whole.withColumn("name", F.struct(F.col("_row.doc_id").alias("id"), F.md5(F.col("_row.text").cast("binary")).alias("text")))
+    with scratch():
+        rows = stored(named.select("row", "name", F.col("_row.text").alias("text")))
+        order = F.struct(F.col("name.id").isNull().alias("unnamed"), F.col("name.id").alias("id"), F.xxhash64("text").alias("hash"), F.col("row").alias("row"))
+        groups = simhash.similar_rows(rows.select("row", order.alias("doc_id"), "text"))
+        stay = rows.select("row", "name").join(groups.filter("row = component_id.row").select("row"), "row", "left_semi")
+        several = rows.groupBy("name").agg(F.count("*").alias("n")).filter("n > 1")
+        stay = kept(stay.join(several, "name", "left").select("name", F.col("n").isNotNull().alias("again")))
+    out = named.join(stay.filter("NOT again"), "name", "left_semi").select("_row.*")
+    if not stay.filter("again").limit(1).count():
+        return out
+    # dealt by a struct of the name, so Spark can split the rows of one name
+    again = named.join(stay.filter("again"), "name", "left_semi").groupBy(F.struct("name").alias("_k")).agg(F.min_by("_row", "row").alias("_row"))
+    return out.unionByName(again.select("_row.*"))
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

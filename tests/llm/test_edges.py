@@ -1,10 +1,14 @@
 """Empty tables and extra columns with clashing names."""
 
+import random
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from geolode.llm import contamination, language, lattice, licenses, matroska, nbest, registry, sharding, simhash, substrings, suffixes
+from geolode.shared import shared_dir
 
 CLASH = "_id _rid _k code vertex root row component_id n_removed cut _row found key id th start len kind word refs rid pos code label shard cell data n".split()
 
@@ -119,3 +123,16 @@ def test_languages_of_an_unlabelled_table(spark, frame, corpus):
     out = corpus_pipeline.keep_languages(spark, frame([(i, t, None, s, n) for i, t, _, s, n in corpus]), "")
     assert out.count() == sum(any(ch.isalpha() for ch in t or "") for _, t, *_ in corpus)
     assert out.filter("lang is not null").count() == 0
+
+
+def test_near_duplicates_leave_no_texts_behind(spark, frame):
+    """Files that a stage leaves are on disk while the next ones run: names of rows may stay, texts and fingerprints may not."""
+    r = random.Random(5)
+    texts = [" ".join(f"{r.getrandbits(40):x}" for _ in range(1500)) for _ in range(60)]
+    rows = [(i, t, "en", "x", None) for i, t in enumerate(texts)] + [(3, texts[3], "en", "y", None), (None, texts[4], "en", "x", None), (None, texts[4] + " more", "en", "x", None)]
+    folder = Path(shared_dir(spark).removeprefix("file://"))
+    before = set(folder.rglob("*.parquet"))
+    out = corpus_pipeline.drop_near_duplicates(spark, frame(rows), "")
+    assert sum(p.stat().st_size for p in set(folder.rglob("*.parquet")) - before) < 0.05 * sum(map(len, texts))
+    for _ in range(2):  # the result can be read again
+        assert sorted((x.doc_id, x.text) for x in out.collect()) == list(enumerate(texts))

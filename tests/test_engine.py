@@ -656,3 +656,21 @@ def test_execute_and_decoded_parameters(engine):
 
 
 _ = (box, c, pa, sub)
+
+
+# larger tables
+
+
+def test_near_pairs_are_shared_among_tasks(spark):
+    """A distance join is dealt to many tasks, whatever the files' sizes say, and finds what comparing every pair finds, at the limit too."""
+    a = spark.range(300).select(F.col("id").alias("i"), spatial.rectangle(spark, F.expr("id % 17 * 1.0"), F.expr("id % 5 * 1.0"), F.expr("id % 17 + 1 + id % 9 * 1.0"), F.expr("id % 5 + 40.5"), 3857).alias("g"))
+    b = spark.range(400).select(F.col("id").alias("j"), spatial.point(spark, F.expr("id % 31 * 1.0"), F.expr("id % 53 - 2.0"), 3857).alias("h"))
+    want = sorted(rows(a.crossJoin(b).filter(spatial.call(spark, "d_within", "g", "h", F.lit(1.5))).select("i", "j")))
+    joined = spatial_join(a, b, "g", "h", "d_within", 1.5)
+    eng = Engine(spark, {"a": a, "b": b})
+    made = eng.query(q(t("a", "a"), "a.i", "b.j", joins=[join("inner", t("b", "b"), st("d_within", "a.g", "b.h", p("d")))]), {"d": Value("f64", 1.5)})
+    for df in (joined.select("i", "j"), made):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "REPARTITION_BY_NUM" in plan and "BroadcastHashJoin" not in plan
+        assert sorted(rows(df)) == want
+    assert want

@@ -121,7 +121,10 @@ add_spatial(
 @query("spatial_subdivide", "SELECT p_partkey, true AS same, true AS small FROM part")
 def _subdivide(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The parts of each rectangle's buffer have its area, and few points each."""
-    whole = rects(spark, sf_dir).select("p_partkey", spatial.call(spark, "buffer", "geom", F.lit(5.0)).alias("g"))
+    from geolode.operators.spatial_join import partitions
+
+    # a small file is one task's, but its buffers and cuts are long work: rows are shared out first, by the key that they are summed by
+    whole = rects(spark, sf_dir).repartition(partitions(spark), "p_partkey").select("p_partkey", spatial.call(spark, "buffer", "geom", F.lit(5.0)).alias("g"))
     parts = whole.select("p_partkey", spatial.call(spark, "area", "g").alias("a"), F.explode(spatial.call(spark, "subdivide", "g", F.lit(12))).alias("part"))
     sums = parts.groupBy("p_partkey").agg(F.first("a").alias("a"), F.sum(spatial.call(spark, "area", "part")).alias("b"), F.max(spatial.call(spark, "n_points", "part")).alias("n"))
     return sums.select("p_partkey", (F.abs(F.col("a") - F.col("b")) < F.col("a") * 1e-9).alias("same"), (F.col("n") <= 12).alias("small"))

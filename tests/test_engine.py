@@ -674,3 +674,11 @@ def test_near_pairs_are_shared_among_tasks(spark):
         assert "SortMergeJoin" in plan and "REPARTITION_BY_NUM" in plan and "BroadcastHashJoin" not in plan
         assert sorted(rows(df)) == want
     assert want
+
+
+def test_long_work_on_a_small_file_is_shared(spark):
+    from geolode import spatial_queries  # noqa: F401  it adds to QUERIES
+    from geolode.queries import QUERIES
+
+    plan = QUERIES["spatial_subdivide"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan[plan.index("geolode_subdivide") :]

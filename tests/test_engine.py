@@ -682,3 +682,30 @@ def test_long_work_on_a_small_file_is_shared(spark):
 
     plan = QUERIES["spatial_subdivide"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "REPARTITION_BY_NUM" in plan[plan.index("geolode_subdivide") :]
+
+
+def test_diagnostics_of_a_long_read(spark, monkeypatch):
+    """A read of the whole table that outlasts the default deadline still names the bad cell's place."""
+    import types
+
+    from geolode import limits
+    from geolode import service_queries  # noqa: F401  it adds to QUERIES
+    from geolode.queries import QUERIES
+
+    ticks = iter(range(0, 1_000_000, 20))
+    monkeypatch.setattr(limits, "time", types.SimpleNamespace(monotonic=lambda: next(ticks)))
+    assert rows(QUERIES["read_diagnostics"](spark, "/root/testdata/sf0.001")) == [(998, "geom")]
+
+
+def test_bad_points_are_found_among_good_ones():
+    import struct
+
+    from geolode.streaming.batches import _encode
+
+    point = lambda x: b"\x01\x01\x00\x00\x00" + struct.pack("<dd", x, 1)
+    line = b"\x01\x02\x00\x00\x00" + struct.pack("<Idddd", 2, 0, 0, 1, 1)
+    run = lambda cells: list(_encode(4, 1 << 20, pa.schema([("g", pa.binary())]), [0], 1 << 20, 64)(iter([pa.RecordBatch.from_arrays([pa.array(cells, pa.binary())], names=["g"]).slice(1)])))
+    assert sum(b.column(2)[0].as_py() for b in run([None, None, point(1), line, point(2), None, point(3)])) == 6
+    for bad in (point(1)[:-1], b"\x02" + point(1)[1:], b"\x01\x02" + point(1)[2:], point(1) + b"\0"):
+        with pytest.raises(EngineError, match=r"\[cell 0 3 "):
+            run([None, None, point(1), line, bad, point(2)])

@@ -6,6 +6,7 @@ import json
 import threading
 import time
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -709,3 +710,19 @@ def test_bad_points_are_found_among_good_ones():
     for bad in (point(1)[:-1], b"\x02" + point(1)[1:], b"\x01\x02" + point(1)[2:], point(1) + b"\0"):
         with pytest.raises(EngineError, match=r"\[cell 0 3 "):
             run([None, None, point(1), line, bad, point(2)])
+
+
+def test_dense_clusters_take_no_pairs(spark):
+    """40,000 rows at two places and 90,000 places within reach of each other; and through a query: repeated rows, null groups, null shapes."""
+    from geolode.operators.clusters import dbscan_places
+
+    began = time.monotonic()
+    assert dbscan_labels([0.0] * 20_000 + [1.0] * 20_000 + [9.0], [0.0] * 40_001, 2.0, 3) == [0] * 40_000 + [None]
+    side = np.arange(300.0)
+    x, y = np.repeat(side, 300), np.tile(side, 300)
+    assert not dbscan_places(x, y, np.ones(90_000, int), 400.0, 5).any()
+    assert time.monotonic() - began < 30
+    df = spark.range(240).select("id", F.expr("CASE WHEN id % 3 > 0 THEN id % 3 END").alias("k"), F.when(F.col("id") % 40 != 7, spatial.point(spark, F.expr("id % 8 DIV 4 * 10.0 + id % 2"), F.lit(0.0))).alias("g"))
+    window = lambda *a: (m.SpatialWindow("cluster_dbscan", tuple(a), (m.Column(m.ColumnRef("k")),)), "c")
+    got = Engine(spark, {"d": df}).query(q("d", "id", "k", window(m.Column(m.ColumnRef("g")), p("e"), p("n"))), {"e": Value("f64", 1.0), "n": Value("i32", 4)})
+    assert {(r.id, r.k, r.c) for r in got.collect()} == {(i, i % 3 or None, None if i % 40 == 7 else i % 8 // 4) for i in range(240)}

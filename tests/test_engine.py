@@ -726,3 +726,21 @@ def test_dense_clusters_take_no_pairs(spark):
     window = lambda *a: (m.SpatialWindow("cluster_dbscan", tuple(a), (m.Column(m.ColumnRef("k")),)), "c")
     got = Engine(spark, {"d": df}).query(q("d", "id", "k", window(m.Column(m.ColumnRef("g")), p("e"), p("n"))), {"e": Value("f64", 1.0), "n": Value("i32", 4)})
     assert {(r.id, r.k, r.c) for r in got.collect()} == {(i, i % 3 or None, None if i % 40 == 7 else i % 8 // 4) for i in range(240)}
+
+
+def test_k_means_tasks_get_distinct_places(spark, monkeypatch):
+    """What a task clusters are the places and how many rows each has, not rows."""
+    from geolode.operators import clusters
+
+    seen = []
+    stored = clusters.stored
+    monkeypatch.setattr(clusters, "stored", lambda df: seen.append(stored(df)) or seen[-1])
+    df = spark.range(10_000).select("id", F.when(F.col("id") > 0, spatial.point(spark, F.expr("id % 4 * 100.0 + id % 3"), F.lit(0.0))).alias("g"))
+    w = m.SpatialWindow("cluster_k_means", (m.Column(m.ColumnRef("g")), p("n")))
+    got = {r.id: r.c for r in Engine(spark, {"d": df}).query(q("d", "id", (w, "c")), {"n": Value("i32", 4)}).collect()}
+    assert seen[0].count() == 12 and len(got) == 10_000 and got[0] is None
+    assert len({(i % 4, c) for i, c in got.items() if i}) == 4
+    assert k_means_labels([5.0] * 300_000, [1.0] * 300_000, 3) == [0] * 300_000
+    seen.clear()
+    limited = Engine(spark, {"d": df.limit(500)}).query(q("d", "id", (w, "c")), {"n": Value("i32", 4)})
+    assert len(seen) == 2 and limited.count() == 500

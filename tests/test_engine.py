@@ -744,3 +744,16 @@ def test_k_means_tasks_get_distinct_places(spark, monkeypatch):
     seen.clear()
     limited = Engine(spark, {"d": df.limit(500)}).query(q("d", "id", (w, "c")), {"n": Value("i32", 4)})
     assert len(seen) == 2 and limited.count() == 500
+
+
+def test_pairs_are_counted_without_being_made(spark):
+    """Points in rectangles by ranks, other shapes by pairs, repeated and null shapes: as comparing every pair counts them."""
+    from geolode.operators import spatial_join as joins
+
+    odd = spatial.from_text(spark, F.expr("concat('POLYGON ((', id % 7, ' 0, ', id % 7 + 3, ' 1, ', id % 7, ' 4, ', id % 7, ' 0))')"), 3857)
+    box = spatial.rectangle(spark, F.expr("id % 11 * 0.5"), F.expr("id % 5 * 1.0"), F.expr("id % 11 * 0.5 + id % 4 + 0.5"), F.expr("id % 5 + id % 3 + 1.0"), 3857)
+    a = spark.range(200).select((F.col("id") % 60).alias("k"), F.when(F.col("id") % 50 == 3, F.lit(None)).when(F.col("id") % 9 == 0, odd).otherwise(box).alias("g"))
+    dot = spatial.point(spark, F.expr("id % 19 * 0.5"), F.expr("id % 8 * 1.0"), 3857)
+    b = spark.range(300).select(F.when(F.col("id") % 70 == 5, F.lit(None)).when(F.col("id") % 37 == 0, odd).otherwise(dot).alias("h"))
+    want = sorted(rows(a.crossJoin(b).filter(spatial.call(spark, "intersects", "g", "h")).groupBy("k").count()))
+    assert want and sorted(rows(joins.counted(a, b, "g", "h", ["k"]))) == want
